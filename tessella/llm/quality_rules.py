@@ -96,7 +96,11 @@ def quality_rules(docs: DataFrame, max_lost: int = 30) -> DataFrame:
         total(F.transform("__lines", lambda x, i: F.when(F.get("__bad", i), F.length(x)).otherwise(0))).alias("lost_chars"), total(F.transform("__lines", F.length)).alias("line_chars"),
         F.array_join(F.filter("__lines", lambda x, i: ~F.get("__bad", i)), "\n").alias("clean_text"))
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return counted.select("*", base.alias("base_failed")).select("*", (~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("line_chars") * max_lost)).alias("kept"))
+    # a generator keeps filters on the results from being pushed into, and so repeated in, the expressions above
+    made_of = F.struct(*[F.col(c) for c in counted.columns[len(names):]], base.alias("base_failed"))
+    held = counted.select(*names, F.explode(F.array(made_of)).alias("__made")).select(*names, "__made.*")
+    kept = ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("line_chars") * max_lost)
+    return held.select(*names, *[F.col(c) for c in made[:-1]], kept.alias("kept"))
 
 
 ORACLE_COUNTS = r"""
