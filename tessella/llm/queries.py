@@ -31,6 +31,19 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derivatives, responses
+
+    return derivatives(responses(_table(spark, sf_dir, "pages")), digests=True)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    out = license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bigrams", F.array_join("licenses", ",").alias("licenses"), "n_matches", F.round("best", 6).alias("best"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
@@ -52,6 +65,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .word_table import word_table_codec
+
+    return word_table_codec(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -59,10 +78,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op7_line_dedup, op8_ngram_join, op9_toxicity, pipeline)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_warc, op6_license_scan, op7_line_dedup, op8_ngram_join, op9_toxicity, op10_word_table, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .license_scan import oracle
     from .quality_rules import ORACLE_COUNTS
 
-    return {"op2_quality_rules": ORACLE_COUNTS}
+    return {"op2_quality_rules": ORACLE_COUNTS, "op6_license_scan": oracle()}
