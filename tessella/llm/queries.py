@@ -31,12 +31,24 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .id_files import token_files
+
+    return token_files(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import derivatives, responses
 
     return derivatives(responses(_table(spark, sf_dir, "pages")), digests=True)
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_columns
+
+    return media_columns(_table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import license_scan
 
@@ -78,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_warc, op6_license_scan, op7_line_dedup, op8_ngram_join, op9_toxicity, op10_word_table, pipeline)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_token_files, op4_warc, op5_media, op6_license_scan, op7_line_dedup, op8_ngram_join, op9_toxicity, op10_word_table, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
