@@ -5,17 +5,27 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import islice
 
-#: Words that a worker keeps; about 100 MB.
-_KEEP = 350_000
+#: Words that a worker keeps; about 150 MB.
+_KEEP = 700_000
+#: A letter or digit before one full stop or comma at a word's end: two pieces anyway.
+_STOP = re.compile(rb"(?<=[a-z0-9])[.,](?=[\t-\r ])")
+
+
+def _forget(table: dict) -> None:
+    """Drop the older half."""
+    for key in list(islice(table, len(table) // 2)):
+        del table[key]
 _loaded: dict = {}
 
 
 class WordEncoder:
     """Encodes a word once and keeps its ids as little-endian 32-bit bytes.
 
-    For tokenizers that drop white space and never join across it, so that a
-    text's ids are its words' ids in order. path names a file of the
+    For tokenizers that ignore case, drop white space and never join across
+    it or between a letter and a stop, so that a text's ids are its words'
+    ids in order. path names a file of the
     tokenizers library, on every worker.
     """
 
@@ -37,8 +47,8 @@ class WordEncoder:
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.table]
         if len(self.table) + len(new) > _KEEP:
-            self.table.clear()
-            new = list(words)
+            _forget(self.table)
+            new = [w for w in words if w not in self.table]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
@@ -46,14 +56,15 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
-        split = [t.split() for t in texts]
+        # small letters and split-off stops make fewer distinct words; texts that could hold special tokens stay as they are
+        split = [t.split() if b"<|" in t else _STOP.sub(rb" \g<0>", t.lower()).split() for t in texts]
         self.learn(set().union(*split) if split else set())
         get = self.table.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
 _WHITE = "\t-\r \x85\xa0  -     　"
-_CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+_CHUNK = re.compile(f" ?[A-Za-z]+(?=[.,])| ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
 
 class ChunkEncoder:
@@ -81,8 +92,8 @@ class ChunkEncoder:
         wanted = set().union(*[s for s in split if s is not None])
         new = [w for w in wanted if w not in self.table]
         if len(self.table) + len(new) > _KEEP:
-            self.table.clear()
-            new = list(wanted)
+            _forget(self.table)
+            new = [w for w in wanted if w not in self.table]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             self.table.update(zip(part, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True))
