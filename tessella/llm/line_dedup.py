@@ -250,7 +250,7 @@ def earlier_matches(pairs: DataFrame, scratch: Scratch) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_words: int = 50, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_deleted, keep): for each document with lines to delete, their number and the ranges (first, n) of lines that stay."""
     scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
-    lines = line_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null"))
+    lines = scratch.table(line_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")), "all-lines")
     base, rank, levels = suffix_array(lines, scratch)
     pairs = common_prefixes(_ordered(rank, scratch), levels, scratch)
     runs = earlier_matches(pairs, scratch)
@@ -300,12 +300,12 @@ def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     gone = repeated_lines(docs, min_words).select(F.col("doc_id").alias("__id"), "starts", "stops")
     lines = F.split("text", "\n")
     # keep[i] is the range from the end of the deleted range before to the start of the next
-    both = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    both = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__id"), "left")
     kept = F.transform(F.array(lines), lambda a: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("starts")), lambda i: F.slice(
         a, F.when(i == 0, 1).otherwise(F.get("stops", i - 1) + 1).cast("int"),
         (F.when(i == F.size("starts"), F.size(a)).otherwise(F.get("starts", i)) - F.when(i == 0, 0).otherwise(F.get("stops", i - 1))).cast("int")))), "\n"))
     deleted = F.aggregate(F.zip_with("starts", "stops", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     names = [c for c in docs.columns if c != "text"]
     out = both.select(*docs.columns, n.alias("n_lines"), F.when(F.col("starts").isNull(), F.lit(0).cast("long")).otherwise(deleted).alias("n_deleted"), F.when(F.col("starts").isNotNull(), F.get(kept, F.lit(0))).otherwise(F.col("text")).alias("__text"))
     return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns], "n_lines", "n_deleted") if names or docs.columns else out
