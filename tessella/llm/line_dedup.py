@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .scratch import Scratch, partitions
+from .scratch import Scratch, one_per_id, partitions
 
 _POS = "doc_id long, line long"
 
@@ -52,9 +52,10 @@ def _split(df: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
     def count(frames):
         from pyspark import TaskContext
 
-        t = pd.concat(list(frames), ignore_index=True)
-        if not len(t):
+        frames = [t for t in frames if len(t)]
+        if not frames:
             return
+        t = pd.concat(frames, ignore_index=True)
         rank = t["rank"].to_numpy()
         new_class = np.ones(len(t), bool)
         new_class[1:] = rank[1:] != rank[:-1]
@@ -131,8 +132,9 @@ def _ordered(rank: DataFrame, scratch: Scratch) -> DataFrame:
     def pair(frames):
         from pyspark import TaskContext
 
-        t = pd.concat(list(frames), ignore_index=True)
-        if len(t):
+        frames = [t for t in frames if len(t)]
+        if frames:
+            t = pd.concat(frames, ignore_index=True)
             yield t[["doc_id", "line", "rank"]].assign(p_doc=t["doc_id"].shift(1), p_line=t["line"].shift(1), part=TaskContext.get().partitionId(), first=t.index == 0, last=t.index == len(t) - 1)
 
     local = scratch.table(spread.select("doc_id", "line", "rank").mapInPandas(pair, _POS + ", rank long, p_doc long, p_line long, part int, first boolean, last boolean"), "order")
@@ -257,9 +259,10 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, scratch: Scratch | None
     rows = base.join(runs, ["doc_id", "line"]).repartition(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "line")
 
     def cover(batches):
-        t = pa.Table.from_batches(list(batches))
-        if not len(t):
+        batches = [b for b in batches if len(b)]
+        if not batches:
             return
+        t = pa.Table.from_batches(batches)
         doc, line, before, n, run = (t.column(i).to_numpy() for i in range(5))
         at = np.arange(len(doc))
         stop = at + run
@@ -294,18 +297,28 @@ def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     All input columns stay, with text replaced (a document that is deleted
     whole has the empty text). Null texts stay null, with n_lines 0; an
     empty text has one line. A null doc_id's text is left as it is. doc_id
-    must be unique. Input columns named n_lines or n_deleted are replaced.
+    ought to be unique: rows with one doc_id and one text are treated alike, as
+    one document; of different texts with one doc_id only the least is looked
+    at, the others stay as they are. Input columns named n_lines or n_deleted
+    are replaced.
     """
     docs = docs.drop("n_lines", "n_deleted")
-    gone = repeated_lines(docs, min_words).select(F.col("doc_id").alias("__id"), "starts", "stops")
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    once, twice = one_per_id(mine)
+    gone = repeated_lines(once, min_words).select(F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"), F.col("stops").alias("__stops"))
+    same = F.lit(True)
+    if twice:
+        # of rows with one doc_id, those that have the text that was looked at
+        gone = gone.join(once.select(F.col("doc_id").alias("__id"), F.sha2("text", 256).alias("__of")), "__id")
+        same = F.sha2("text", 256) == F.col("__of")
     lines = F.split("text", "\n")
     # keep[i] is the range from the end of the deleted range before to the start of the next
-    both = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__id"), "left")
-    kept = F.transform(F.array(lines), lambda a: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("starts")), lambda i: F.slice(
-        a, F.when(i == 0, 1).otherwise(F.get("stops", i - 1) + 1).cast("int"),
-        (F.when(i == F.size("starts"), F.size(a)).otherwise(F.get("starts", i)) - F.when(i == 0, 0).otherwise(F.get("stops", i - 1))).cast("int")))), "\n"))
-    deleted = F.aggregate(F.zip_with("starts", "stops", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
+    both = docs.join(gone.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col("__id")) & same, "left")
+    kept = F.transform(F.array(lines), lambda a: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("__starts")), lambda i: F.slice(
+        a, F.when(i == 0, 1).otherwise(F.get("__stops", i - 1) + 1).cast("int"),
+        (F.when(i == F.size("__starts"), F.size(a)).otherwise(F.get("__starts", i)) - F.when(i == 0, 0).otherwise(F.get("__stops", i - 1))).cast("int")))), "\n"))
+    deleted = F.aggregate(F.zip_with("__starts", "__stops", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     names = [c for c in docs.columns if c != "text"]
-    out = both.select(*docs.columns, n.alias("n_lines"), F.when(F.col("starts").isNull(), F.lit(0).cast("long")).otherwise(deleted).alias("n_deleted"), F.when(F.col("starts").isNotNull(), F.get(kept, F.lit(0))).otherwise(F.col("text")).alias("__text"))
+    out = both.select(*docs.columns, n.alias("n_lines"), F.when(F.col("__starts").isNull(), F.lit(0).cast("long")).otherwise(deleted).alias("n_deleted"), F.when(F.col("__starts").isNotNull(), F.get(kept, F.lit(0))).otherwise(F.col("text")).alias("__text"))
     return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns], "n_lines", "n_deleted") if names or docs.columns else out

@@ -72,6 +72,8 @@ def solve(demand: np.ndarray, limit: int, phases: int = 4, slack: float = 0.002,
     price = np.zeros(limit + 1)
     price[lengths] = lengths / limit
     x: dict[tuple[int, ...], float] = {}
+    if not len(lengths):
+        return x
     for _ in range(phases):
         share = demand / phases
         left = share.copy()

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Scratch:
@@ -47,5 +48,11 @@ class Scratch:
                     p.getFileSystem(conf).delete(p, True)
 
 
+def one_per_id(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs(doc_id, text) with one row per doc_id (the least text), and whether any doc_id was there twice. Only ids are shuffled to find that out."""
+    twice = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return (docs.groupBy("doc_id").agg(F.min("text").alias("text")), True) if twice else (docs, False)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
