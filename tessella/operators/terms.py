@@ -10,16 +10,12 @@ from ..functions.text import clamp, cluster_label, domain_terms, label_tokens, m
 
 
 def ngram_counts(df: DataFrame, text: str = "text", normal: bool = True) -> DataFrame:
-    """(term, ngram_size, term_frequency, document_frequency) of 1- to 3-grams; one row per term leaves each map task."""
-    tokens = df.select(vocabulary_tokens(text, normal).alias("t"), F.monotonically_increasing_id().alias("d")).where(F.size("t") > 0)
-
-    def sized(n: int) -> Column:
-        return F.transform(ngrams("t", n), lambda g: F.struct(g.alias("term"), F.lit(n).alias("ngram_size")))
-
-    grams = F.concat(*[sized(n) for n in (1, 2, 3)])
-    # counted within the text first, so that document frequency is a plain sum
-    each = tokens.select("d", F.explode(grams).alias("g")).groupBy("d", "g.term", "g.ngram_size").agg(F.count("*").alias("n"))
-    return each.groupBy("term", "ngram_size").agg(F.sum("n").alias("term_frequency"), F.count("*").alias("document_frequency"))
+    """(term, ngram_size, term_frequency, document_frequency) of 1- to 3-grams. Each text's terms are sorted, so that its first use of a term can be told apart and one grouping with partial sums counts both."""
+    tokens = df.select(vocabulary_tokens(text, normal).alias("t")).where(F.size("t") > 0)
+    sorted_ = tokens.select(F.sort_array(F.concat(*[ngrams("t", n) for n in (1, 2, 3)])).alias("g"))
+    each = sorted_.select(F.explode(F.transform("g", lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get("g", i - 1) == x), 0).otherwise(1).alias("first")))).alias("x"))
+    counted = each.groupBy("x.term").agg(F.count("*").alias("term_frequency"), F.sum("x.first").alias("document_frequency"))
+    return counted.select("term", F.size(F.split("term", " ")).alias("ngram_size"), "term_frequency", "document_frequency")
 
 
 def vocabulary(df: DataFrame, text: str = "text", top_n: int = 50, normal: bool = True) -> DataFrame:
