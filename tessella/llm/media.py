@@ -16,7 +16,7 @@ from .webp import decode_images, encode_image, encode_tiles, split_files
 #: A row of 192 pixels holds 576 payload bytes as red, green, blue; an image has 32 rows at most, so a long text is several images.
 _UNIT, _WIDTH, _ROWS = 576, 192, 32
 #: Pixels that are coded in step.
-_BATCH = 1 << 20
+_BATCH = 1 << 22
 
 
 def to_images(payload: np.ndarray) -> list[np.ndarray]:

@@ -44,6 +44,9 @@ class _Codes:
         self.offset[one] = 0
         self.width = size
         self.flat = self.symbols.ravel()
+        # a code's length is the number of limits that its value reaches; all reach the first, none the last ones
+        self.lo = int((self.limit > 0).any(axis=0).argmax())
+        self.steps = [np.ascontiguousarray(self.limit[:, k].astype(np.uint16)) for k in range(self.lo, 16) if (self.limit[:, k] < 1 << 15).any()]
 
 
 class _Streams:
@@ -69,7 +72,9 @@ class _Streams:
 
     def symbol(self, lanes: np.ndarray, codes: _Codes, row: np.ndarray) -> np.ndarray:
         v = _REV15[(self.peek(lanes) & U(0x7FFF)).astype(np.int64)]
-        length = (v[:, None] >= codes.limit[row]).sum(axis=1)
+        small, length = v.astype(np.uint16), np.full(len(v), codes.lo, np.int64)
+        for step in codes.steps:
+            length += small >= step[row]
         at = codes.offset[row, length] + ((v - codes.first[row, length]) >> (15 - length))
         self.pos[lanes] += length
         return codes.flat[row * codes.width + at]
