@@ -34,6 +34,12 @@ _CLASS_TARGET = _target(_CLASSES, 1 << 14, 48)
 _SUB_TARGET = _target(8, 1 << _TOTAL, 256)
 
 
+def _below(cuts: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Of each row, the symbol whose range of cumulative frequencies holds the value."""
+    reached = cuts[:, 1:] <= value[:, None]
+    return (reached.view(np.int8) @ np.ones(reached.shape[1], np.int8)).astype(np.int64)
+
+
 class _Model:
     """The shared state of coder and decoder for as many blocks as there are lanes.
 
@@ -245,7 +251,7 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
         miss = np.flatnonzero(v >= model.start)
         if len(miss):
             cuts = (model.rest[miss, None] * model.cls[miss]) >> 14
-            kk = (cuts[:, 1:] <= (v[miss] - model.start[miss])[:, None]).sum(axis=1)
+            kk = _below(cuts, v[miss] - model.start[miss])
             row = np.arange(len(miss))
             start[miss] = model.start[miss] + cuts[row, kk]
             size[miss] = cuts[row, kk + 1] - cuts[row, kk]
@@ -253,7 +259,7 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
         if len(miss):
             rows = miss * _CLASSES + kk
             cuts = model.sub[rows]
-            j = (cuts[:, 1:] <= value(miss)[:, None]).sum(axis=1)
+            j = _below(cuts, value(miss))
             row = np.arange(len(miss))
             take(miss, cuts[row, j], cuts[row, j + 1] - cuts[row, j])
             plain = np.maximum(kk - 3, 0)
