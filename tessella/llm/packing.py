@@ -58,7 +58,7 @@ def _fill(capacity: int, take: np.ndarray) -> list[int]:
     return out
 
 
-def solve(demand: np.ndarray, limit: int, phases: int = 4, slack: float = 0.002, rate: float = 0.5) -> dict[tuple[int, ...], float]:
+def solve(demand: np.ndarray, limit: int, phases: int = 2, slack: float = 0.002, rate: float = 0.5) -> dict[tuple[int, ...], float]:
     """A nearly optimal fractional solution of the configuration LP: configuration (lengths, falling) -> how many sequences.
 
     The phases each cover an equal part of the demand of every length.
@@ -167,7 +167,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0,
         for b in batches:
             off, data = spans.buffers(b.column(1))
             ids = b.column(0).to_pylist()
-            for i, j in spans.pieces(off):
+            for i, j in spans.pieces(off, 1 << 22):
                 raw = data[off[i] : off[j]].tobytes()
                 rel = (off[i : j + 1] - off[i]).tolist()
                 rows = []

@@ -65,11 +65,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def pieces(off: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of about a megabyte of text, one row at least."""
+def pieces(off: np.ndarray, size: int = _PIECE) -> Iterator[tuple[int, int]]:
+    """Row ranges of about size bytes of text, one row at least."""
     n, i = len(off) - 1, 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + _PIECE, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
 

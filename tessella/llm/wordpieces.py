@@ -9,8 +9,8 @@ from itertools import islice
 
 #: Words that a worker keeps; about 150 MB.
 _KEEP = 700_000
-#: A letter or digit before one full stop or comma at a word's end: two pieces anyway.
-_STOP = re.compile(rb"(?<=[a-z0-9])[.,](?=[\t-\r ])")
+#: A run of marks (no apostrophe) after a letter or digit, up to the word's end: a piece of its own anyway.
+_STOP = re.compile(rb"(?<=[a-z0-9])[!-&(-/:-@\[-`{-~]+(?=[\t-\r ])")
 
 
 def _forget(table: dict) -> None:
