@@ -57,9 +57,9 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .line_dedup import line_dedup
+    from .passages import passage_dedup
 
-    out = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = passage_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
