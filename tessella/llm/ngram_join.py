@@ -18,6 +18,8 @@ from .scratch import Scratch, one_per_id
 #: A fixed number of counters in each of two hashed rows; the sketch has the same size for any corpus.
 _BUCKETS = 1 << 20
 _SLICES = 32
+#: Sets of a component that are counted against each other at a time.
+_BLOCK = 256
 #: Pivot rounds before what is left of an index entry is compared in full.
 _PIVOTS = 4
 
@@ -163,6 +165,43 @@ def _verify(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFram
     return two.select("a", "b", "s", "t").mapInArrow(work, "a long, b long")
 
 
+def link_counts(group: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """(rep, n_links) of every node of group(node, component): all sets of its component that reach the similarity with its own.
+
+    Linked sets are in one component, so all pairs there are all that can
+    link. A component is dealt into blocks by hash, and every pair of blocks
+    is a group of its own, so a large component spreads over tasks.
+    """
+    sized = group.join(group.groupBy("component").agg(F.ceil(F.count("*") / _BLOCK).alias("blocks")), "component")
+    dealt = sized.join(tokens, F.col("node") == F.col("id")).select("component", "id", "tokens", F.pmod(F.xxhash64("id"), "blocks").alias("block"), "blocks")
+    other = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    pairs = other.select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "tokens")
+
+    def count(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        x, y, block = (t.column(c).to_numpy() for c in ("x", "y", "block"))
+        ids, sets = t.column("id").to_numpy(), [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("tokens")]
+        size = np.array([len(s) for s in sets])
+        linked = np.zeros(len(ids), np.int64)
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        if len(left) and len(right):
+            _, token = np.unique(np.concatenate(sets), return_inverse=True)
+            row, n = np.repeat(np.arange(len(ids)), size), int(token.max()) + 1
+            both = np.zeros((len(left), len(right)), np.int64)
+            for at in range(0, n, 1 << 13):
+                some = (token >= at) & (token < at + (1 << 13))
+                has = np.zeros((len(ids), min(1 << 13, n - at)), np.float32)
+                has[row[some], token[some] - at] = 1
+                both += (has[left] @ has[right].T).astype(np.int64)
+            near = (both > 0) & (den * both >= num * (size[left][:, None] + size[right][None, :] - both)) & (ids[left][:, None] != ids[right][None, :])
+            np.add.at(linked, left, near.sum(axis=1))
+            if x[0] != y[0]:
+                np.add.at(linked, right, near.sum(axis=0))
+        return pa.table({"rep": t.column("id"), "n": pa.array(linked)})
+
+    return pairs.groupBy("component", "x", "y").applyInArrow(count, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n_links"))
+
+
 def ngram_join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
     """Near-duplicate groups of docs(doc_id, text): every text's class and its links.
 
@@ -183,9 +222,13 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10
        members that are not yet in its component; then the members that are still in different components
        are compared in full. Only pairs that are already connected are left
        out, so components lose nothing.
+    4. Links are counted apart from that, over all pairs of a component's
+       classes (link_counts): their work grows with the square of a
+       component, as the links themselves do.
 
     Returns doc_id, n_shingles, class_id (least doc_id of the same word
-    sequence), n_links (verified links of the class's representative) and
+    sequence), n_links (of the class's representative: to how many other classes'
+    representatives it links, all of them) and
     component_id (least doc_id reachable). Null and empty texts and texts
     without a word have n_shingles 0 and link with nothing. Rows with a null
     doc_id are left out, repeated doc_ids give one row (for the least of
@@ -235,9 +278,11 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10
             group = components(links, scratch)
         if last or left.isEmpty():
             break
-    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    ends = ends.withColumn("component_id", F.col("rep")) if group is None else ends.join(group.select(F.col("node").alias("rep"), F.col("component").alias("component_id")), "rep")
-    ends = scratch.table(ends, "ends")
+    if group is None:
+        ends = reps.select("rep", F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component_id"))
+    else:
+        counts = scratch.table(link_counts(group, tokens, num, den), "counts")
+        ends = scratch.table(counts.join(group.select(F.col("node").alias("rep"), F.col("component").alias("component_id")), "rep"), "ends")
     return member.join(ends, "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "rep", "doc_id").alias("component_id"),
