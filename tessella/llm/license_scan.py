@@ -10,6 +10,7 @@ _MIT = "Permission is hereby granted, free of charge, to any person obtaining a
 _ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
 _APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
 _GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+_ISC_WHOLE = _ISC + " IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", _MIT), ("ISC", _ISC), ("Apache-2.0", _APACHE), ("GPL-3.0", _GPL),
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."),
@@ -24,6 +25,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."), ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
 ]
 
+#: Texts that the scan knows besides those of the SQL.
+WHOLE: list[tuple[str, str]] = [("ISC", _ISC_WHOLE)]
+
 
 def normalised(text: Column) -> Column:
     """Small letters, digits and inner dots and hyphens; all else is one space."""
@@ -63,7 +67,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     made = ["n_bigrams", "licenses", "n_matches", "best"]
     docs = docs.drop(*made)
     names = [F.col(c) for c in docs.columns]
-    known = _templates(docs.sparkSession, TEMPLATES if templates is None else templates, num, den)
+    known = _templates(docs.sparkSession, [*TEMPLATES, *WHOLE] if templates is None else templates, num, den)
     text = F.coalesce("text", F.lit(""))
     split = docs.select("*", normalised(F.regexp_replace(text, "\n", " ")).alias("__whole"), F.when(F.contains(text, F.lit("\n")), F.transform(F.split(text, "\n"), normalised)).otherwise(F.array().cast("array<string>")).alias("__lines"))
     counted = split.select(*names, bigrams(F.col("__whole")).alias("__whole"), F.transform("__lines", bigrams).alias("__lines"))
