@@ -21,7 +21,9 @@ _SLICES = 32
 #: Sets of a component that are counted against each other at a time.
 _BLOCK = 256
 #: Pivot rounds before what is left of an index entry is compared in full.
-_PIVOTS = 4
+_PIVOTS = 3
+#: Groups of so many members at least get a centre of their own.
+_CENTRED = 8
 
 
 def _rows(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +110,7 @@ def prefix_keys(tokens: np.ndarray, kind: np.ndarray, num: int, den: int) -> np.
 
 
 def index(docs: DataFrame, load: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, sig1, sig2, keys) of every document."""
+    """(doc_id, n_shingles, sig1, sig2, central, keys) of every document; central: the mean frequency class of its tokens in thousandths, highest for the member of a group of near copies that has the fewest words of its own."""
     shared = docs.sparkSession.sparkContext.broadcast(load_classes(load))
 
     def work(batches):
@@ -122,14 +124,16 @@ def index(docs: DataFrame, load: np.ndarray, n: int, num: int, den: int) -> Data
                     c = np.zeros(len(h) + 1, np.uint64)
                     np.cumsum(spans.mix(h + spans.mix(place.astype(np.uint64) * np.uint64(2) + np.uint64(salt))), out=c[1:])
                     sums.append((c[first[1:]] - c[first[:-1]]).view(np.int64))
-                keys = []
+                keys, central = [], []
                 for s in sets:
                     r, q = _rows(s)
-                    keys.append(prefix_keys(s, np.minimum(kinds[0][r], kinds[1][q]), num, den).view(np.int64))
+                    kind = np.minimum(kinds[0][r], kinds[1][q])
+                    central.append(int(1000 * kind.mean()) if len(s) else 0)
+                    keys.append(prefix_keys(s, kind, num, den).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32()), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[0]), pa.array(sums[1]), lists], ["doc_id", "n_shingles", "sig1", "sig2", "keys"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(central, pa.int32()), lists], ["doc_id", "n_shingles", "sig1", "sig2", "central", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, sig1 long, sig2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, sig1 long, sig2 long, central int, keys array<long>")
 
 
 def _tokens(docs: DataFrame, n: int) -> DataFrame:
@@ -165,6 +169,107 @@ def _verify(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFram
     return two.select("a", "b", "s", "t").mapInArrow(work, "a long, b long")
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32()), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)]), pa.int64()))
+
+
+def _compare(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, p, x_size, p_size, linked, near, diff) of the pairs (x, p) in whose sets a partner of a near member can be.
+
+    near: similarity of a half at least. Jaccard distance is a metric, so
+    what links with a near member is within a half less 1 - num/den of p:
+    those pairs are returned. diff holds the tokens that one of the two
+    sets has alone, the last bit 0 if x has it, 1 if p has it.
+    """
+
+    def work(batches):
+        for b in batches:
+            keep, linked, near, diff, sizes = [], [], [], [], ([], [])
+            for k, (u, v) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+                s, t = np.frombuffer(u.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint64)
+                at = np.searchsorted(t, s)
+                at[at == len(t)] = 0
+                here = t[at] == s if len(t) else np.zeros(len(s), bool)
+                both = int(here.sum())
+                whole = len(s) + len(t) - both
+                if 2 * den * both < (2 * num - den) * whole:
+                    continue
+                there = np.ones(len(t), bool)
+                there[at[here]] = False
+                keep.append(k)
+                linked.append(den * both >= num * whole)
+                near.append(2 * both >= whole)
+                diff.append(np.concatenate([s[~here] & ~np.uint64(1), t[there] | np.uint64(1)]).view(np.int64))
+                sizes[0].append(len(s))
+                sizes[1].append(len(t))
+            pick = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), *[pa.array(z, pa.int64()) for z in sizes], pa.array(linked, pa.bool_()), pa.array(near, pa.bool_()), _lists(diff)], ["x", "p", "x_size", "p_size", "linked", "near", "diff"])
+
+    one = pairs.join(tokens.select(F.col("id").alias("x"), F.col("tokens").alias("s")), "x")
+    two = one.join(tokens.select(F.col("id").alias("p"), F.col("tokens").alias("t")), "p")
+    return two.select("x", "p", "s", "t").mapInArrow(work, "x long, p long, x_size long, p_size long, linked boolean, near boolean, diff array<long>")
+
+
+def _group_candidates(tested: DataFrame, scratch: Scratch, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links and further candidates (a, b) among the documents that were compared with one pivot.
+
+    The symmetric difference of two sets is that of their differences from
+    any third set, the centre. The centre is the pivot, in groups of some
+    size with the tokens swapped in or out that most members' differences
+    hold. Near copies of one text then have few tokens left, mostly their
+    own. Two sets link just when their symmetric difference is at most
+    c * (sum of sizes), c = (den - num) / (den + num), that is when their
+    differences D share at least (f + g) / 2 tokens, with f = |D| - c * size.
+    With z the member of least f, those with f + f(z) <= 0 link with z for
+    certain, and so do both of any two that need to share no token. For all
+    others the first shared token, in an order that all members of the group
+    use, stands so early in both that the needed number can still follow:
+    these are the candidates. Equal (pivot, token) pairs are joined, so no
+    task holds a group.
+    """
+    c_of, c_num = den + num, den - num
+    several = tested.groupBy("p").agg(F.count("*").alias("n"), F.min("linked").alias("all"), F.first("p_size").alias("p_size")).where("n > 1 and not all")
+    several = scratch.table(several.select("p", "n", "p_size"), "groups")
+    if several.isEmpty():
+        scratch.drop(several)
+        return None, None
+    rest = tested.join(several.select("p", "n"), "p").select("p", "n", F.col("x").alias("x"), F.col("x_size").alias("size"), "diff")
+    rest = scratch.table(rest.unionByName(several.select("p", "n", F.col("p").alias("x"), F.col("p_size").alias("size"), F.array().cast("array<long>").alias("diff"))), "diffs")
+    often = rest.where(f"n >= {_CENTRED}").select("p", "n", F.explode("diff").alias("item")).groupBy("p", "item").agg(F.count("*").alias("k"), F.first("n").alias("n")).where("2 * k > n + 1")
+    swap = scratch.table(often.groupBy("p").agg(F.collect_list("item").alias("swap")), "swaps")
+
+    def recentre(batches):
+        for b in batches:
+            own, d, f = [], [], []
+            for diff, size, swap_ in zip(b.column(3), b.column(2).to_pylist(), b.column(4), strict=True):
+                t = diff.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                late = t & np.uint64(1)
+                if swap_.is_valid:
+                    m = swap_.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                    t = np.setxor1d(t, m)
+                    late = (t & np.uint64(1)) | np.isin(t, m)
+                own.append(t[np.lexsort((t, late))].view(np.int64))
+                d.append(len(t))
+                f.append(c_of * len(t) - c_num * size)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.int64()), pa.array(f, pa.int64()), _lists(own)], ["p", "x", "d", "f", "own"])
+
+    moved = rest.join(swap, "p", "left").select("p", "x", "size", "diff", "swap").mapInArrow(recentre, "p long, x long, d long, f long, own array<long>")
+    moved = scratch.table(moved, "centred")
+    least = scratch.table(moved.groupBy("p").agg(F.min(F.struct("f", "x")).alias("z")).select("p", F.col("z.f").alias("zf"), F.col("z.x").alias("z")), "centres")
+    placed = moved.join(least, "p").withColumn("close", F.expr("f + zf <= 0"))
+    sure = placed.where("close and x <> z").select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b"))
+    need = f"greatest(1, ceil((f + if(close, 1 - zf, zf)) / {2 * c_of}))"
+    prefix = placed.withColumn("take", F.expr(f"cast(d - {need} + 1 as int)")).where("take > 0")
+    items = scratch.table(prefix.select("p", "x", "d", "f", "close", F.posexplode(F.expr("slice(own, 1, take)")).alias("at", "item")), "items")
+    a, b = (items.select("p", "item", *[F.col(k).alias(f"{s}_{k}") for k in ("x", "d", "f", "close", "at")]) for s in "ab")
+    share = f"ceil((a_f + b_f) / {2 * c_of})"
+    maybe = a.join(b, ["p", "item"]).where(f"a_x < b_x and not (a_close and b_close) and a_at + {share} <= a_d and b_at + {share} <= b_d").select(F.col("a_x").alias("a"), F.col("b_x").alias("b"))
+    maybe = scratch.table(maybe.distinct(), "maybe")
+    sure = scratch.table(sure.distinct(), "sure")
+    scratch.drop(several, rest, swap, moved, least, items)
+    return sure, maybe
+
+
 def link_counts(group: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
     """(rep, n_links) of every node of group(node, component): all sets of its component that reach the similarity with its own.
 
@@ -216,12 +321,13 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10
        shingles last in the order of tokens and proves some rare. Extended
        prefixes are indexed by pairs of neighbouring tokens, or by the one
        token where it is rare (prefix_keys).
-    3. An entry's documents are not all paired. In each of four rounds a
-       pivot (in the first round the same one for as many entries as
-       possible, then another for every entry) is compared with those
-       members that are not yet in its component; then the members that are still in different components
-       are compared in full. Only pairs that are already connected are left
-       out, so components lose nothing.
+    3. An entry's documents are not all paired. In each of three rounds one
+       of them, the pivot, is compared with the others. Those at least half
+       alike are compared among themselves by what they differ in from the
+       pivot (_group_candidates), which near copies of one text share little
+       of; those less alike go on to the next round. What is left then is
+       compared in full, but for pairs that are connected already. Nothing
+       that can link is left out.
     4. Links are counted apart from that, over all pairs of a component's
        classes (link_counts): their work grows with the square of a
        component, as the links themselves do.
@@ -243,41 +349,53 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10
     indexed = scratch.table(index(docs, shingle_load(docs, n), n, num, den), "index")
     found = scratch.table(indexed.drop("keys"), "found")
     same = indexed.where("n_shingles > 0").groupBy("sig1", "sig2", "n_shingles")
-    classes = scratch.table(same.agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "classes")
-    entries = classes.select("rep", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
+    classes = scratch.table(same.agg(F.min("doc_id").alias("rep"), F.first("central").alias("central"), F.first("keys").alias("keys")), "classes")
+    entries = classes.select("rep", F.col("n_shingles").alias("size"), "central", F.explode("keys").alias("key"))
     scratch.drop(indexed)
     used = scratch.table(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    left = scratch.table(entries.join(used, "key").select("key", "rep", "size"), "entries")
+    left = scratch.table(entries.join(used, "key").select("key", "rep", "size", "central"), "entries")
     reps = scratch.table(classes.drop("keys"), "reps")
     scratch.drop(classes, used)
     member = found.join(reps.select("sig1", "sig2", "rep"), ["sig1", "sig2"], "left")
     ids = left.select(F.col("rep").alias("doc_id")).distinct()
     tokens = scratch.table(_tokens(docs.join(ids, "doc_id", "left_semi"), n), "tokens")
 
-    near = f"least(a_size, b_size) * {den} >= greatest(a_size, b_size) * {num}"
-    links, group = None, None
-    for step in range(_PIVOTS + 1):
-        last = step == _PIVOTS
-        with_group = left.withColumn("c", F.col("rep")) if group is None else left.join(group.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("c"))
-        now = scratch.table(with_group, "now")
-        if last:
-            a, b = (now.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("rep", "size", "c")]) for p in "ab")
-            pairs = a.join(b, "key").where(f"a_rep < b_rep and a_c <> b_c and {near}")
-        else:
-            rank = F.struct((F.xxhash64("rep", "key", F.lit(step)) if step else F.xxhash64("rep")).alias("h"), F.col("rep").alias("rep"), F.col("size").alias("size"), F.col("c").alias("c"))
-            lead = scratch.table(now.groupBy("key").agg(F.min(rank).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", F.col("p.rep").alias("b_rep"), F.col("p.size").alias("b_size"), F.col("p.c").alias("b_c")), "pivots")
-            met = scratch.table(now.select("key", F.col("rep").alias("a_rep"), F.col("size").alias("a_size"), F.col("c").alias("a_c")).join(lead, "key"), "met")
-            left = met.where("a_rep <> b_rep").select("key", F.col("a_rep").alias("rep"), F.col("a_size").alias("size"))
-            pairs = met.where(f"a_c <> b_c and {near}")
-        old = [now] if last else [now, lead]
-        pairs = scratch.table(pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct(), "pairs")
-        new = scratch.table(_verify(pairs, tokens, num, den), "links")
-        scratch.drop(pairs, *old)
-        links = new if links is None else links.unionByName(new)
-        if not new.isEmpty():
+    def joined(new: DataFrame | None) -> None:
+        nonlocal links, group
+        if new is not None and not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
             group = components(links, scratch)
-        if last or left.isEmpty():
+
+    links, group = None, None
+    for _ in range(_PIVOTS):
+        now = left.withColumn("c", F.col("rep")) if group is None else left.join(group.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+        rank = F.struct("central", F.xxhash64("rep").alias("h"), "rep", "size")
+        lead = scratch.table(now.groupBy("key").agg(F.max(rank).alias("l"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", F.col("l.rep").alias("p"), F.col("l.size").alias("p_size")), "pivots")
+        met = scratch.table(left.join(lead, "key").where("rep <> p"), "met")
+        scratch.drop(left, lead)
+        pairs = scratch.table(met.where(f"least(size, p_size) * {2 * den} >= greatest(size, p_size) * {2 * num - den}").select(F.col("rep").alias("x"), "p").distinct(), "pairs")
+        tested = scratch.table(_compare(pairs, tokens, num, den), "tested")
+        scratch.drop(pairs)
+        straight = scratch.table(tested.where("linked").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")), "links")
+        near = tested.where("near").select(F.col("x").alias("rep"), "p")
+        left = scratch.table(met.join(near, ["rep", "p"], "left_anti").select("key", "rep", "size", "central"), "entries")
+        scratch.drop(met)
+        sure, maybe = _group_candidates(tested, scratch, num, den)
+        scratch.drop(tested)
+        new = straight
+        if sure is not None:
+            new = straight.unionByName(sure).unionByName(scratch.table(_verify(maybe, tokens, num, den), "links"))
+        joined(new)
+        if left.isEmpty():
             break
+    else:
+        now = left.withColumn("c", F.col("rep")) if group is None else left.join(group.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+        now = scratch.table(now, "now")
+        a, b = (now.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("rep", "size", "c")]) for p in "ab")
+        pairs = a.join(b, "key").where(f"a_rep < b_rep and a_c <> b_c and least(a_size, b_size) * {den} >= greatest(a_size, b_size) * {num}")
+        pairs = scratch.table(pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct(), "pairs")
+        scratch.drop(now)
+        joined(scratch.table(_verify(pairs, tokens, num, den), "links"))
     if group is None:
         ends = reps.select("rep", F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component_id"))
     else:
