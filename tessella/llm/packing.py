@@ -58,88 +58,132 @@ def _fill(capacity: int, take: np.ndarray) -> list[int]:
     return out
 
 
-def solve(demand: np.ndarray, limit: int, phases: int = 2, slack: float = 0.002, rate: float = 0.5) -> dict[tuple[int, ...], float]:
-    """A nearly optimal fractional solution of the configuration LP: configuration (lengths, falling) -> how many sequences.
-
-    The phases each cover an equal part of the demand of every length.
-    Within one, a knapsack over the present prices gives the best
-    configuration that begins with each length; those within slack of the
-    best are used as far as the phase's demand goes. Covered lengths'
-    prices fall by a factor of exp(-rate * covered part); those that a phase
-    left to the end keep high prices and are served early in the next.
+def solve(demand: np.ndarray, limit: int, gap: float = 0.002, step: float = 0.01, rate: float = 40.0, slack: float = 0.01, most: int = 300) -> tuple[dict[tuple[int, ...], float], float]:
+    """A fractional solution of the configuration LP, configuration (lengths, falling) -> how many sequences, and a lower bound on any packing.
+
+    Multiplicative weights: a length's price is its size times
+    exp(-rate * covered share of its demand). A knapsack over the prices gives
+    the best configuration that begins with each length; those within slack
+    of the best one are used, each for a step-th of the demand of its
+    scarcest length, as long as their price stays that high. Nothing is used
+    up: what is covered too often grows cheap until the others have caught
+    up. Prices also bound the optimum: no configuration is worth more than
+    the best one, so price of all demand / price of the best one sequences are
+    needed at least. The loop ends when the sum over coverage is within gap of
+    the best bound, or after so many (most) prices.
     """
     lengths = np.flatnonzero(demand)
-    price = np.zeros(limit + 1)
-    price[lengths] = lengths / limit
-    x: dict[tuple[int, ...], float] = {}
     if not len(lengths):
-        return x
-    for _ in range(phases):
-        share = demand / phases
-        left = share.copy()
-        size = np.arange(limit + 1) / limit
-        while left.any():
-            y = np.where(left > 0, price, 0)
-            best, take = _price(y, limit)
-            starts = np.flatnonzero(y > 0)
-            value = y[starts] + best[limit - starts]
-            good = starts[value >= value.max() * (1 - slack)]
-            good = good[np.argsort(-value[value >= value.max() * (1 - slack)], kind="stable")]
-            for first in good:
-                if left[first] <= 0:
-                    continue
-                config = tuple(sorted([int(first), *_fill(limit - int(first), take)], reverse=True))
-                kinds, many = np.unique(config, return_counts=True)
-                much = float((left[kinds] / many).min())
-                if much <= 0:
-                    continue
-                x[config] = x.get(config, 0.0) + much
-                left[kinds] -= much * many
-                left[kinds[left[kinds] < 1e-9 * share[kinds] + 1e-12]] = 0
-                price[kinds] *= np.exp(-rate * much * many / share[kinds])
-        # lengths are never worth less than half of their size
-        price = np.where(price > 0, np.maximum(price, size / 2), 0)
-        price *= 1 / max(1e-12, (price * demand).sum() / (size * demand).sum())
-    return x
-
-
-def best_fit(counts: np.ndarray, limit: int) -> list[tuple[int, ...]]:
-    """Best-fit decreasing over a histogram."""
-    free: dict[int, list[list[int]]] = {}
-    mask, bins = 0, []
+        return {}, 0.0
+    d = demand[lengths].astype(float)
+    at = np.zeros(limit + 1, np.int64)
+    at[lengths] = np.arange(len(lengths))
+    covered, used, x = np.zeros(len(lengths)), 0.0, {}
+    start, settled = covered.copy(), np.zeros(limit + 1)
+    bound = float((lengths * d).sum() / limit)
+    for k in range(most):
+        price = lengths * np.exp(-rate * (covered - covered.min()))
+        y = np.zeros(limit + 1)
+        y[lengths] = price
+        best, take = _price(y, limit)
+        bound = max(bound, float((price * d).sum() / best[limit]))
+        settled += y / best[limit]
+        if k % 20 == 19:  # the mean of prices bounds better than each of them
+            bound = max(bound, float((settled[lengths] * d).sum() / _price(settled, limit)[0][limit]))
+        if used and used <= (1 + gap) * bound * (covered - start).min():
+            break
+        if k in (most // 6, most // 2):
+            # the prices stay: a share covered of -log(price) / rate stands for each
+            step, rate = step / 2, rate * 3
+            start = (covered - covered.min()) * (rate / 3) / rate
+            covered, used, x = start.copy(), 0.0, {}
+            settled[:] = 0
+        value = price + best[limit - lengths]
+        order = np.argsort(-value, kind="stable")
+        for j in order[: int((value >= best[limit] * (1 - slack)).sum())].tolist():
+            config = tuple(sorted([int(lengths[j]), *_fill(limit - int(lengths[j]), take)], reverse=True))
+            kinds, many = np.unique(at[list(config)], return_counts=True)
+            if (price[kinds] * many).sum() < best[limit] * (1 - slack):
+                continue
+            much = step * float((d[kinds] / many).min())
+            x[config] = x.get(config, 0.0) + much
+            used += much
+            more = much * many / d[kinds]
+            covered[kinds] += more
+            price[kinds] *= np.exp(-rate * more)
+    share = float(((covered - start) * lengths * d).sum() / (lengths * d).sum())
+    return {c: v / share for c, v in x.items()}, bound
+
+
+def best_fit(counts: np.ndarray, limit: int) -> dict[tuple[int, ...], int]:
+    """Best-fit decreasing over a histogram: configuration -> how many sequences. Alike sequences are filled together, so the work follows the number of lengths, not that of pieces."""
+    free: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    mask, full = 0, {}
+
+    def put(config: tuple[int, ...], room: int, many: int) -> None:
+        nonlocal mask
+        if room:
+            free.setdefault(room, []).append((config, many))
+            mask |= 1 << room
+        else:
+            full[config] = full.get(config, 0) + many
+
     for length in range(limit, 0, -1):
-        for _ in range(int(counts[length])):
+        left = int(counts[length])
+        while left:
             above = mask >> length
             if above:
                 room = length + (above & -above).bit_length() - 1
-                b = free[room].pop()
+                config, many = free[room].pop()
                 if not free[room]:
                     mask &= ~(1 << room)
             else:
-                room, b = limit, []
-                bins.append(b)
-            b.append(length)
-            if room > length:
-                free.setdefault(room - length, []).append(b)
-                mask |= 1 << (room - length)
-    return [tuple(b) for b in bins]
+                room, config, many = limit, (), left
+            each = room // length
+            whole = min(many, left // each)
+            if whole:
+                put(config + (length,) * each, room - each * length, whole)
+            left -= whole * each
+            many -= whole
+            if many and left and left < each:
+                put(config + (length,) * left, room - left * length, 1)
+                left, many = 0, many - 1
+            if many and config:
+                put(config, room, many)
+    for groups in free.values():
+        for config, many in groups:
+            full[config] = full.get(config, 0) + many
+    return full
+
+
+def rounded(x: dict[tuple[int, ...], float], demand: np.ndarray, limit: int) -> dict[tuple[int, ...], int]:
+    """Whole sequences of a fractional solution: the whole parts first, then one of each configuration that the sum of the parts left over steps past, as far as the demand goes; the rest by best fit."""
+    left, out = demand.astype(np.int64).copy(), {}
+
+    def use(config: tuple[int, ...], k: int) -> int:
+        kinds, many = np.unique(config, return_counts=True)
+        k = min(k, int((left[kinds] // many).min()))
+        if k > 0:
+            left[kinds] -= k * many
+            out[config] = out.get(config, 0) + k
+        return max(k, 0)
+
+    for config, v in sorted(x.items(), key=lambda i: (-i[1], i[0])):
+        use(config, int(v + 1e-9))
+    owed = 0.0
+    for config, v in sorted(x.items(), reverse=True):
+        owed += v - int(v + 1e-9)
+        if owed >= 0.5 and use(config, 1):
+            owed -= 1
+    for config, k in best_fit(left, limit).items():
+        out[config] = out.get(config, 0) + k
+    return out
 
 
 def plan(demand: np.ndarray, limit: int) -> Plan:
-    """Solve, round down, and pack what rounding left (at most a few pieces per configuration, whatever the data's size) by best fit."""
-    x = solve(demand.astype(float), limit)
-    whole = {c: int(v + 1e-6) for c, v in x.items() if v >= 1 - 1e-6}
-    left = demand.astype(np.int64).copy()
-    for c, k in whole.items():
-        for length in c:
-            left[length] -= k
-    for c in sorted(whole):
-        while any(left[length] < 0 for length in c) and whole[c]:
-            whole[c] -= 1
-            for length in c:
-                left[length] += 1
-    for c in best_fit(left, limit):
-        whole[c] = whole.get(c, 0) + 1
+    """The better of the rounded LP solution and best fit over the whole histogram; lp is the lower bound on any packing."""
+    x, bound = solve(demand, limit)
+    whole = min((rounded(x, demand, limit), best_fit(demand, limit)), key=lambda w: sum(w.values()))
     rows, sequence = [], 0
     used = np.zeros(limit + 1, np.int64)
     for c, k in sorted(whole.items(), reverse=True):
@@ -153,7 +197,7 @@ def plan(demand: np.ndarray, limit: int) -> Plan:
         sequence += k
     assert (used == demand).all()
     t = np.array(sorted(rows) or np.zeros((0, 5)), np.int64)
-    return Plan(t[:, 0], t[:, 1], t[:, 2], t[:, 3], t[:, 4], sequence, float(sum(x.values())))
+    return Plan(t[:, 0], t[:, 1], t[:, 2], t[:, 3], t[:, 4], sequence, bound)
 
 
 def pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
