@@ -4,91 +4,110 @@ from __future__ import annotations
 
 import hashlib
 import os
-import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .scratch import partitions
+from .scratch import Scratch
 
 #: Text of a block of documents; a block's words and ids are what a task holds at a time.
 _BLOCK = 8 << 20
+#: Rows of a batch of words.
+_ROWS = 50_000
 
 
-def _blocks(batches):
-    """(block, doc_ids, texts) of about 8 MB of text in the order of the rows."""
-    from pyspark import TaskContext
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, their bytes plane by plane."""
+    return zstandard.ZstdCompressor(level=3).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
-    number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
-    for b in batches:
-        off, data = spans.buffers(b.column(1))
-        for i, doc in enumerate(b.column(0).to_pylist()):
-            n = int(off[i + 1] - off[i])
-            if texts and size + n > _BLOCK:
-                yield number, ids, texts
-                number, ids, texts, size = number + 1, [], [], 0
-            ids.append(doc)
-            texts.append(data[off[i] : off[i + 1]].tobytes())
-            size += n
-    if texts:
-        yield number, ids, texts
 
+def _open(raw) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
-def _squeeze(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(raw)
 
-
-def _open(raw) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(raw.as_buffer() if isinstance(raw, pa.Scalar) else raw)
-
-
-def distinct_words(docs: DataFrame, slices: int) -> DataFrame:
-    """(slice, block, words): the distinct words of each block of documents, dealt by a hash of the word."""
+def split_words(docs: DataFrame) -> DataFrame:
+    """(block, doc_ids, counts, codes, words) of docs(doc_id, text): about 8 MB of text in the order of the rows, as the distinct words of the block and every document's words as numbers into them."""
 
     def work(batches):
-        for number, _, texts in _blocks(batches):
-            words: set[bytes] = set()
-            for t in texts:
-                words.update(t.split())
-            dealt: list[list[bytes]] = [[] for _ in range(slices)]
-            for w in words:
-                dealt[zlib.crc32(w) % slices].append(w)
-            full = [k for k in range(slices) if dealt[k]]
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(full, pa.int32()), "block": pa.array([number] * len(full), pa.int64()), "words": pa.array([_squeeze(b"\n".join(sorted(dealt[k]))) for k in full], pa.binary())})
-
-    return docs.mapInArrow(work, "slice int, block long, words binary")
-
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        ids, counts, codes, index, size = [], [], [], {}, 0
+
+        def block():
+            return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "counts": pa.array([_squeeze(np.array(counts, np.uint32))], pa.binary()), "codes": pa.array([_squeeze(np.array(codes, np.uint32))], pa.binary()), "words": pa.array([zstandard.ZstdCompressor(level=3).compress(b"\n".join(index))], pa.binary())})
+
+        for b in batches:
+            off, data = spans.buffers(b.column(1))
+            for i, doc in enumerate(b.column(0).to_pylist()):
+                n = int(off[i + 1] - off[i])
+                if ids and size + n > _BLOCK:
+                    yield block()
+                    number, ids, counts, codes, index, size = number + 1, [], [], [], {}, 0
+                words = data[off[i] : off[i + 1]].tobytes().split()
+                ids.append(doc)
+                counts.append(len(words))
+                for w in words:
+                    codes.append(index.setdefault(w, len(index)))
+                size += n
+        if ids:
+            yield block()
+
+    return docs.mapInArrow(work, "block long, doc_ids array<long>, counts binary, codes binary, words binary")
+
+
+def encode_words(blocks: DataFrame, tokenizer: str) -> DataFrame:
+    """(block, number, ids): the ids of every block's words, as 32-bit numbers in bytes.
+
+    A word is one row per block that has it, dealt and sorted by word, so
+    equal words follow each other, and each is encoded once. A task holds one batch
+    of rows; the commonest word has a row per block, not one per occurrence.
+    """
 
-def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """(block, words, ids): each distinct word of a slice encoded once, its ids handed to every block that has it."""
+    def unpack(batches):
+        for b in batches:
+            for block, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = zstandard.ZstdDecompressor().decompress(raw.as_buffer()).split(b"\n")
+                words = words if words != [b""] else []
+                for i in range(0, len(words), _ROWS):
+                    part = words[i : i + _ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([block] * len(part), pa.int64()), pa.array(range(i, i + len(part)), pa.int32())], ["word", "block", "number"])
 
-    def work(t: pa.Table) -> pa.Table:
+    def encode(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(tokenizer)
         model.no_truncation()
         model.no_padding()
-        table: dict[bytes, bytes] = {}
-        blocks, said, out = t.column("block").to_pylist(), [], []
-        for raw in t.column("words"):
-            packed = raw.as_buffer().to_pybytes()
-            own = _open(packed).split(b"\n")
-            new = [w for w in own if w not in table]
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
-                table.update(zip(part, [array("I", e.ids).tobytes() for e in model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)], strict=True))
-            ids = [table[w] for w in own]
-            said.append(packed)
-            out.append(_squeeze(np.array([len(x) // 4 for x in ids], "<u4").tobytes() + b"".join(ids)))
-        return pa.table({"block": pa.array(blocks, pa.int64()), "words": pa.array(said, pa.binary()), "ids": pa.array(out, pa.binary())})
-
-    return words.groupBy("slice").applyInArrow(work, "block long, words binary, ids binary")
+        last, kept = None, b""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            words = b.column(0).to_pylist()
+            new = [w for w, before in zip(words, [last, *words], strict=False) if w != before]
+            table = dict(zip(new, [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)], strict=True))
+            if words[0] == last:
+                table[last] = kept
+            last, kept = words[-1], table[words[-1]]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([table[w] for w in words], pa.binary())], ["block", "number", "ids"])
+
+    rows = blocks.select("block", "words").mapInArrow(unpack, "word binary, block long, number int")
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, number int, ids binary")
+
+
+def pieces(tokenizer: str) -> pa.Array:
+    """The piece of each id: a table of the vocabulary's size."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer)
+    return pa.array([model.id_to_token(i) or "" for i in range(model.get_vocab_size())], pa.string())
 
 
 def word_table_codec(docs: DataFrame, tokenizer: str, outputs: str = "digest") -> DataFrame:
@@ -96,57 +115,48 @@ def word_table_codec(docs: DataFrame, tokenizer: str, outputs: str = "digest") -
 
     For tokenizers that drop white space, never join across it and have no
     decoder of their own, so that decoding puts spaces between pieces.
-    Documents are grouped into blocks in the order of their partitions. Each
-    block's distinct words go to the task of their slice, which encodes
-    every distinct word of the corpus once; the ids return to the blocks,
-    and each text's ids are those of its words by position. Pieces come
-    from the tokenizer's id-to-piece table, whose size is the vocabulary's.
-
-    docs is read twice and must give the same rows in the same partitions
-    both times, as stored tables do; a word that then has no ids is an
-    error, never a wrong id.
+    Documents are split into words and grouped into blocks, a written table
+    of word numbers; the blocks' distinct words are shuffled by word, each
+    is encoded once, and the ids are joined back to the blocks by number and
+    to the texts by position. Ids are decoded by a join with the table of
+    pieces, whose size is the vocabulary's. What a task holds is bounded by
+    a block, whatever the corpus has; a text of more than a block is one.
 
     outputs 'digest': doc_id, n_tokens, ids_sha256, decoded_sha256; 'full':
     doc_id, ids (binary, little-endian 32-bit), decoded. Null texts are
     empty; texts without words have no ids and decode to the empty text;
-    repeated rows and null ids are kept; further columns are ignored.
+    repeated rows and null ids are kept; an empty table gives an empty one; further columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    slices = min(1024, partitions(docs.sparkSession))
     digest = outputs == "digest"
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids binary, decoded string"
-
-    def bundle(batches):
-        for number, ids, texts in _blocks(batches):
-            sizes = np.array([len(t) for t in texts], "<i8").tobytes()
-            yield pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "texts": pa.array([_squeeze(sizes + b"".join(texts))], pa.binary())})
-
-    held = docs.mapInArrow(bundle, "block long, doc_ids array<long>, texts binary")
-    tables = encode_words(distinct_words(docs, slices), tokenizer)
+    blocks = Scratch(docs.sparkSession, "word-table").table(split_words(docs), "blocks")
+    table = pieces(tokenizer)
+    shared = docs.sparkSession.sparkContext.broadcast(table.to_pylist())
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        piece = [model.id_to_token(i).encode() for i in range(model.get_vocab_size())]
-        table: dict[bytes, bytes] = {}
-        for words, ids in zip(right.column("words"), right.column("ids"), strict=True):
-            own, raw = _open(words).split(b"\n"), _open(ids)
-            count = np.frombuffer(raw, "<u4", len(own))
-            at = (4 * (len(own) + np.append(0, np.cumsum(count.astype(np.int64))))).tolist()
-            table.update(zip(own, [raw[x:y] for x, y in zip(at, at[1:], strict=False)], strict=True))
+        piece = pa.array(shared.value, pa.string())
+        right = right.combine_chunks()
+        order = np.argsort(right.column("number").to_numpy(), kind="stable")
+        ids = pc.take(right.column("ids"), pa.array(order)).combine_chunks() if len(order) else pa.array([], pa.binary())
+        off, data = spans.buffers(ids)
+        flat = data[off[0] : off[-1]].view("<u4") if len(order) else np.zeros(0, "<u4")
+        size, start = np.diff(off) // 4, (off[:-1] - off[0]) // 4
         rows = []
-        for docs_, packed in zip(left.column("doc_ids"), left.column("texts"), strict=True):
-            who = docs_.as_py()
-            raw = _open(packed)
-            at = (8 * len(who) + np.append(0, np.cumsum(np.frombuffer(raw, "<i8", len(who))))).tolist()
-            for doc, x, y in zip(who, at, at[1:], strict=False):
-                ids = b"".join(map(table.__getitem__, raw[x:y].split()))
-                decoded = b" ".join([piece[i] for i in np.frombuffer(ids, "<u4").tolist()])
-                rows.append((doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()) if digest else (doc, ids, decoded.decode()))
+        for who, counts, codes in zip(left.column("doc_ids"), left.column("counts"), left.column("codes"), strict=True):
+            who, codes = who.as_py(), _open(codes.as_buffer())
+            at = np.concatenate([[0], np.cumsum(_open(counts.as_buffer()).astype(np.int64))])
+            for k, doc in enumerate(who):
+                c = codes[at[k] : at[k + 1]]
+                n = size[c]
+                place = np.repeat(start[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                own = flat[place]
+                raw = own.tobytes()
+                text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), piece.take(pa.array(own))), " ")[0].as_py() if len(own) else ""
+                rows.append((doc, len(own), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digest else (doc, raw, text))
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "ids", "decoded"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()] if digest else [pa.int64(), pa.binary(), pa.string()]
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return held.groupBy("block").cogroup(tables.groupBy("block")).applyInArrow(join, schema)
+    held = blocks.select("block", "doc_ids", "counts", "codes")
+    return held.groupBy("block").cogroup(encode_words(blocks, tokenizer).groupBy("block")).applyInArrow(join, schema)
