@@ -64,7 +64,7 @@ def shingle_load(docs: DataFrame, n: int = 3) -> np.ndarray:
             total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.uint32)
         return pa.table({"slice": table.column("slice").slice(0, 1), "load": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(count, "slice int, load binary")
+    parts = docs.select("text").mapInArrow(spans.tidy(count), "slice int, load binary")
     got = {r["slice"]: np.frombuffer(r["load"], np.int64) for r in parts.groupBy("slice").applyInArrow(add, "slice int, load binary").collect()}
     if not got:
         return np.zeros((2, _BUCKETS), np.int64)
@@ -133,7 +133,7 @@ def index(docs: DataFrame, load: np.ndarray, n: int, num: int, den: int) -> Data
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32()), pa.array(np.concatenate(keys)))
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(central, pa.int32()), lists], ["doc_id", "n_shingles", "sig1", "sig2", "central", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, sig1 long, sig2 long, central int, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(spans.tidy(work), "doc_id long, n_shingles long, sig1 long, sig2 long, central int, keys array<long>")
 
 
 def _tokens(docs: DataFrame, n: int) -> DataFrame:
@@ -144,7 +144,7 @@ def _tokens(docs: DataFrame, n: int) -> DataFrame:
             for i, j, sets, _, _ in _sets(*spans.buffers(b.column(1)), n):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "id long, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(spans.tidy(work), "id long, tokens binary")
 
 
 def _verify(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
@@ -166,7 +166,7 @@ def _verify(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFram
 
     one = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("s")), "a")
     two = one.join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("t")), "b")
-    return two.select("a", "b", "s", "t").mapInArrow(work, "a long, b long")
+    return two.select("a", "b", "s", "t").mapInArrow(spans.tidy(work), "a long, b long")
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -207,7 +207,7 @@ def _compare(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFra
 
     one = pairs.join(tokens.select(F.col("id").alias("x"), F.col("tokens").alias("s")), "x")
     two = one.join(tokens.select(F.col("id").alias("p"), F.col("tokens").alias("t")), "p")
-    return two.select("x", "p", "s", "t").mapInArrow(work, "x long, p long, x_size long, p_size long, linked boolean, near boolean, diff array<long>")
+    return two.select("x", "p", "s", "t").mapInArrow(spans.tidy(work), "x long, p long, x_size long, p_size long, linked boolean, near boolean, diff array<long>")
 
 
 def _group_candidates(tested: DataFrame, scratch: Scratch, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -253,7 +253,7 @@ def _group_candidates(tested: DataFrame, scratch: Scratch, num: int, den: int) -
                 f.append(c_of * len(t) - c_num * size)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.int64()), pa.array(f, pa.int64()), _lists(own)], ["p", "x", "d", "f", "own"])
 
-    moved = rest.join(swap, "p", "left").select("p", "x", "size", "diff", "swap").mapInArrow(recentre, "p long, x long, d long, f long, own array<long>")
+    moved = rest.join(swap, "p", "left").select("p", "x", "size", "diff", "swap").mapInArrow(spans.tidy(recentre), "p long, x long, d long, f long, own array<long>")
     moved = scratch.table(moved, "centred")
     least = scratch.table(moved.groupBy("p").agg(F.min(F.struct("f", "x")).alias("z")).select("p", F.col("z.f").alias("zf"), F.col("z.x").alias("z")), "centres")
     placed = moved.join(least, "p").withColumn("close", F.expr("f + zf <= 0"))

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from . import spans
 from .scratch import Scratch
-from .wordpieces import WordEncoder
+from .wordpieces import WordEncoder, rest
 
 
 @dataclass
@@ -211,7 +211,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0,
         for b in batches:
             off, data = spans.buffers(b.column(1))
             ids = b.column(0).to_pylist()
-            for i, j in spans.pieces(off, 1 << 22):
+            for i, j in spans.pieces(off, 1 << 21):
                 raw = data[off[i] : off[j]].tobytes()
                 rel = (off[i : j + 1] - off[i]).tolist()
                 rows = []
@@ -230,8 +230,9 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0,
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(doc, pa.int64()), "piece": pa.array(k, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
                     **({"ids": pa.array(cut, pa.binary())} if keep_ids else {}), "part": pa.array([part] * len(doc), pa.int32()), "ordinal": ordinal})
+        rest()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * keep_ids + "part int, ordinal long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(spans.tidy(work), "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * keep_ids + "part int, ordinal long")
 
 
 def pack(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:

@@ -76,7 +76,7 @@ def anchors(docs: DataFrame, n: int) -> DataFrame:
                 owner = b.column(0).take(pa.array(i + row[s])).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([owner, pa.array(s - first[row[s]]), pa.array(many), pa.array(g[place[s]].view(np.int64)), *[pa.array(x.view(np.int64)) for x in c]], ["doc_id", "start", "many", "anchor", "c1", "c2"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, start long, many long, anchor long, c1 long, c2 long")
+    return docs.select("doc_id", "text").mapInArrow(spans.tidy(work), "doc_id long, start long, many long, anchor long, c1 long, c2 long")
 
 
 def _windows(docs: DataFrame, n: int) -> DataFrame:
@@ -99,7 +99,7 @@ def _windows(docs: DataFrame, n: int) -> DataFrame:
     def pc_len(column):
         return np.diff(column.offsets.to_numpy())
 
-    return docs.select("doc_id", "text", "begins", "many").mapInArrow(work, "doc_id long, start long, w1 long, w2 long")
+    return docs.select("doc_id", "text", "begins", "many").mapInArrow(spans.tidy(work), "doc_id long, start long, w1 long, w2 long")
 
 
 def repeated_words(docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
@@ -186,4 +186,4 @@ def passage_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
             rest = iter(b.columns[3:])
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if c == "text" else next(rest) for c in names] + [pa.array(lines, pa.int64()), pa.array(ends, pa.int64())], [*names, "n_lines", "n_deleted"])
 
-    return both.mapInArrow(cut, docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_deleted")).schema)
+    return both.mapInArrow(spans.tidy(cut), docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_deleted")).schema)

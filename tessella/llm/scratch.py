@@ -46,6 +46,8 @@ class Scratch:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 if self.root.split("/")[-1] in path:
                     p.getFileSystem(conf).delete(p, True)
+        # Spark deletes the shuffle files of plans that the driver's collector has found dead
+        jvm.System.gc()
 
 
 def one_per_id(docs: DataFrame) -> tuple[DataFrame, bool]:

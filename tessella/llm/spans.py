@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,27 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def trim() -> None:
+    """Give freed memory back to the system; Python workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(work: Callable) -> Callable:
+    """work(batches), with trim() at the task's end."""
+
+    def inner(batches):
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return inner
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U(33))
     x = x * U(0xFF51AFD7ED558CCD)

@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
     def add(t: pa.Table) -> pa.Table:
         return pa.table({"slice": t.column("slice").slice(0, 1), "counts": pa.array([sum(np.frombuffer(x.as_py(), np.int32) for x in t.column("counts")).astype(np.int32).tobytes()], pa.binary())})
 
-    got = {r["slice"]: np.frombuffer(r["counts"], np.int32) for r in used.select("text", "toxic").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()}
+    got = {r["slice"]: np.frombuffer(r["counts"], np.int32) for r in used.select("text", "toxic").mapInArrow(spans.tidy(count), "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()}
     if not got or not (texts := got[_SLICES]).all():
         n = got[_SLICES] if got else np.zeros(2)
         return Model(np.zeros(1 << _BITS, np.float32), float(np.log((n[1] + 1) / (n[0] + 1))))
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
                 at = np.searchsorted(row, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([b.column(2).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([place[f[x:y]].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())], ["id", "toxic", "f"])
 
-    picked = Scratch(spark, "toxicity").table(used.select("text", "toxic", "id").mapInArrow(pick, "id long, toxic int, f binary").withColumn("h", F.xxhash64("id")), "picked")
+    picked = Scratch(spark, "toxicity").table(used.select("text", "toxic", "id").mapInArrow(spans.tidy(pick), "id long, toxic int, f binary").withColumn("h", F.xxhash64("id")), "picked")
     size = picked.select("h", "id", (F.octet_length("f") / 2).cast("long").alias("n")).collect()  # max_rows rows of three numbers
     size = sorted((r["h"], r["id"], r["n"]) for r in size)
     fits = np.cumsum([n for _, _, n in size]) <= max_entries
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(spans.tidy(work), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def training_labels(labels: DataFrame) -> DataFrame:

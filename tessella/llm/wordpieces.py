@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import threading
 from array import array
 from itertools import islice
 
+from . import spans
+
 #: Words that a worker keeps; about 150 MB.
 _KEEP = 700_000
 #: A run of marks (no apostrophe) after a letter or digit, up to the word's end: a piece of its own anyway.
@@ -17,7 +21,32 @@ def _forget(table: dict) -> None:
     """Drop the older half."""
     for key in list(islice(table, len(table) // 2)):
         del table[key]
+
+
 _loaded: dict = {}
+#: Seconds after a task's end at which a worker without a new one forgets its tables.
+_IDLE = 3.0
+_timer: threading.Timer | None = None
+
+
+def _drop() -> None:
+    _loaded.clear()
+    gc.collect()
+    spans.trim()
+
+
+def rest() -> None:
+    """At a task's end: tables serve the next task, but are not kept by a worker that other stages need memory beside."""
+    global _timer
+    wake()
+    _timer = threading.Timer(_IDLE, _drop)
+    _timer.daemon = True
+    _timer.start()
+
+
+def wake() -> None:
+    if _timer is not None:
+        _timer.cancel()
 
 
 class WordEncoder:
@@ -40,6 +69,7 @@ class WordEncoder:
 
     @staticmethod
     def of(path: str) -> WordEncoder:
+        wake()
         if path not in _loaded:
             _loaded[path] = WordEncoder(path)
         return _loaded[path]
@@ -82,6 +112,7 @@ class ChunkEncoder:
 
     @staticmethod
     def of(path: str) -> ChunkEncoder:
+        wake()
         key = "chunks " + path
         if key not in _loaded:
             _loaded[key] = ChunkEncoder(path)
