@@ -24,6 +24,8 @@ _BLOCK = 256
 _PIVOTS = 3
 #: Groups of so many members at least get a centre of their own.
 _CENTRED = 8
+#: In these, tokens that more than one in so many members' differences hold are counted; they are 50 times a mean difference at most.
+_OFTEN = 50
 
 
 def _rows(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +225,7 @@ def _group_candidates(tested: DataFrame, scratch: Scratch, num: int, den: int) -
     With z the member of least f, those with f + f(z) <= 0 link with z for
     certain, and so do both of any two that need to share no token. For all
     others the first shared token, in an order that all members of the group
-    use, stands so early in both that the needed number can still follow:
+    use (rare ones first), stands so early in both that the needed number can still follow:
     these are the candidates. Equal (pivot, token) pairs are joined, so no
     task holds a group.
     """
@@ -235,25 +237,30 @@ def _group_candidates(tested: DataFrame, scratch: Scratch, num: int, den: int) -
         return None, None
     rest = tested.join(several.select("p", "n"), "p").select("p", "n", F.col("x").alias("x"), F.col("x_size").alias("size"), "diff")
     rest = scratch.table(rest.unionByName(several.select("p", "n", F.col("p").alias("x"), F.col("p_size").alias("size"), F.array().cast("array<long>").alias("diff"))), "diffs")
-    often = rest.where(f"n >= {_CENTRED}").select("p", "n", F.explode("diff").alias("item")).groupBy("p", "item").agg(F.count("*").alias("k"), F.first("n").alias("n")).where("2 * k > n + 1")
-    swap = scratch.table(often.groupBy("p").agg(F.collect_list("item").alias("swap")), "swaps")
+    often = rest.where(f"n >= {_CENTRED}").select("p", "n", F.explode("diff").alias("item")).groupBy("p", "item").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(f"{_OFTEN} * k > n")
+    often = often.groupBy("p").agg(F.collect_list(F.struct("item", "k")).alias("l"))
+    swap = scratch.table(often.select("p", F.col("l.item").alias("often"), F.col("l.k").alias("times")), "swaps")
 
     def recentre(batches):
         for b in batches:
             own, d, f = [], [], []
-            for diff, size, swap_ in zip(b.column(3), b.column(2).to_pylist(), b.column(4), strict=True):
+            for diff, size, n, often, times in zip(b.column(3), b.column(2).to_pylist(), b.column(4).to_pylist(), b.column(5), b.column(6), strict=True):
                 t = diff.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                late = t & np.uint64(1)
-                if swap_.is_valid:
-                    m = swap_.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                    t = np.setxor1d(t, m)
-                    late = (t & np.uint64(1)) | np.isin(t, m)
-                own.append(t[np.lexsort((t, late))].view(np.int64))
+                seen = np.zeros(len(t), np.int64)
+                if often.is_valid:
+                    item, k = often.values.to_numpy(zero_copy_only=False).view(np.uint64), times.values.to_numpy(zero_copy_only=False)
+                    most = 2 * k > n + 1
+                    t = np.setxor1d(t, item[most])
+                    by = np.argsort(item)
+                    item, k = item[by], np.where(most, n - k, k)[by]
+                    at = np.minimum(np.searchsorted(item, t), len(item) - 1)
+                    seen = np.where(item[at] == t, k[at], 0)
+                own.append(t[np.lexsort((t, t & np.uint64(1), seen))].view(np.int64))
                 d.append(len(t))
                 f.append(c_of * len(t) - c_num * size)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.int64()), pa.array(f, pa.int64()), _lists(own)], ["p", "x", "d", "f", "own"])
 
-    moved = rest.join(swap, "p", "left").select("p", "x", "size", "diff", "swap").mapInArrow(spans.tidy(recentre), "p long, x long, d long, f long, own array<long>")
+    moved = rest.join(swap, "p", "left").select("p", "x", "size", "diff", "n", "often", "times").mapInArrow(spans.tidy(recentre), "p long, x long, d long, f long, own array<long>")
     moved = scratch.table(moved, "centred")
     least = scratch.table(moved.groupBy("p").agg(F.min(F.struct("f", "x")).alias("z")).select("p", F.col("z.f").alias("zf"), F.col("z.x").alias("z")), "centres")
     placed = moved.join(least, "p").withColumn("close", F.expr("f + zf <= 0"))
