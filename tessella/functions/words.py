@@ -36,3 +36,13 @@ COMPONENT = r"\b(?:[A-Z][A-Za-z0-9-]{2,}|[A-Z]{2,}(?:-[A-Z0-9]+)*)\b"
 COMPONENT_PARTS = ["module", "service", "api", "sensor", "controller"]
 OBLIGATIONS = ["may", "should", "shall", "must"]
 RELATION_KEYWORDS = {"data": "deriveReqt", "hierarchical": "deriveReqt", "sequential": "trace", "reference": "trace"}
+
+#: Sentences of the suggestions and conflicts that must read alike.
+SPLIT_SHOWN = 'Cluster "%s" shows a bimodal distribution (bimodality score: %.3f, BIC improvement: %.1f).'
+SPLIT_SIZES = "The two identified sub-groups contain %d and %d requirements respectively."
+SPLIT_SPREAD = "The cluster has high internal spread (%.3f), supporting the case for splitting."
+SPLIT_END = "Splitting would create more focused clusters with tighter semantic coherence."
+SUMMARY_ABOUT = "covers requirements related to "
+SUMMARY_PLAIN = "contains related requirements"
+SUMMARY_TEXTS = "Representative requirements include: "
+CONFLICT_MESSAGE = "Requirements %s and %s have a cannot-link constraint but are transitively grouped together by must-link corrections."

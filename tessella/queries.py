@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import words as W
 from .functions.text import clean_text, comment_confidence, components, intent, plain_text, strings
-from .operators import cluster, commands, compare, constraints, dependency, ingest, refine, terms, vectors
+from .operators import cluster, commands, compare, constraints, dependency, ingest, reads, refine, suggest, terms, vectors
 from .plans import pipeline as plan
-from .sources import export, providers
+from .sources import export, fixtures, providers
 from .tables import cache_misses, text_hash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,7 @@ T = f"""SELECT a.idx, b.embedding, b.label, b.prob FROM ({V}) a JOIN ({V}) b ON
 
 def view(spark: SparkSession, d: str, sql: str) -> DataFrame:
     names = {n: spark.read.parquet(f"{d}/{n}.parquet") for n in ("embeddings", "events") if n in sql}
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for n in names:
         sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}")
     return spark.sql(sql, **names)
@@ -540,19 +541,25 @@ def q66_bimodality(spark, d):
     return refine.bimodality(cluster.pca(view(spark, d, V), 10), "reduced")
 
 
+def _in_two(v: DataFrame) -> DataFrame:
+    """Every second row moved along one axis, so that every cluster falls into two parts."""
+    return v.withColumn("embedding", F.transform("embedding", lambda x, i: x + F.when((i == 0) & (F.col("idx") % 2 == 0), 6.0).otherwise(0.0)))
+
+
 @query()
 def q66b_suggest_splits(spark, d):
-    return refine.suggest_splits(cluster.pca(view(spark, d, V), 3), "reduced", min_spread=0.0)
+    wide = _in_two(view(spark, d, V))
+    return refine.suggest_splits(cluster.pca(wide, 3), "reduced", min_spread=0.0)
 
 
 @query()
 def q67_pipeline(spark, d):
-    return plan.run(view(spark, d, S).select("idx", "text"), plan.Settings(threshold=0.3))["requirements"].select("idx", "label", "x", "y")
+    return plan.run(view(spark, d, S).select("idx", "text"), plan.Settings(threshold=0.3, max_nodes=None, max_edges=None))["requirements"].select("idx", "label", "x", "y")
 
 
 @query()
 def q68_ablation(spark, d):
-    return plan.ablation(view(spark, d, E).select("idx", F.col("original").alias("text"), "enriched"), plan.Settings(mode="enriched"))
+    return plan.ablation(view(spark, d, E).select("idx", F.col("original").alias("text"), "enriched"), plan.Settings(mode="enriched", max_nodes=None, max_edges=None))
 
 
 @query()
@@ -588,6 +595,148 @@ def q74_plain_text(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", plain_text("text", 200).alias("text"))
 
 
+_RN = f"SELECT id, req_id, text, cluster_id, coalesce(cluster_id = -1, false) AS is_noise FROM ({_RQ}) r"
+
+
+@query(f"SELECT 'noise' AS choice, id, cluster_id FROM ({_RN}) n WHERE is_noise UNION ALL SELECT 'clustered', id, cluster_id FROM ({_RN}) n WHERE NOT is_noise UNION ALL SELECT 'cluster', id, cluster_id FROM ({_RN}) n WHERE cluster_id = 2")
+def q75_noise_choice(spark, d):
+    rows = view(spark, d, _RN)
+    picks = {"noise": reads.shown(rows, noise="noise"), "clustered": reads.shown(rows, noise="clustered"), "cluster": reads.shown(rows, cluster=2)}
+    made = [df.select(F.lit(k).alias("choice"), "id", "cluster_id") for k, df in picks.items()]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+@query(f"SELECT r.id, r.req_id, l.new_cluster_id, l.status FROM ({_RN}) r LEFT JOIN (SELECT requirement_id, max_by(new_cluster_id, id) AS new_cluster_id, max_by(status, id) AS status FROM ({C}) c GROUP BY requirement_id) l ON l.requirement_id = r.id")
+def q76_requirement_correction(spark, d):
+    return reads.with_last(view(spark, d, _RN).select("id", "req_id"), view(spark, d, C), "requirement_id", "id", ["new_cluster_id", "status"])
+
+
+@query(f"SELECT r.id, r.req_id, l.provider, l.prompt_version, l.status FROM ({_RN}) r LEFT JOIN (SELECT requirement_id, max_by(provider, id) AS provider, max_by(prompt_version, id) AS prompt_version, max_by(status, id) AS status FROM ({L}) c GROUP BY requirement_id) l ON l.requirement_id = r.id")
+def q77_requirement_enrichment(spark, d):
+    return reads.with_last(view(spark, d, _RN).select("id", "req_id"), view(spark, d, L), "requirement_id", "id", ["provider", "prompt_version", "status"])
+
+
+_ER = f"SELECT idx, 'REQ-' || lpad(CAST(idx AS STRING), 4, '0') AS requirement_id, original, enriched AS expanded_text, CASE WHEN idx % 5 = 0 THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN idx % 4 = 0 THEN NULL ELSE confidence END AS confidence, idx % 3 = 0 AS warned FROM ({E}) e"
+
+
+@query(f"SELECT requirement_id, status, confidence FROM ({_ER}) r WHERE contains(lower(requirement_id || ' ' || expanded_text || ' ' || original), 'command') AND status = 'succeeded' AND coalesce(confidence, 1) < 0.7 AND warned")
+def q78_enrichment_filter(spark, d):
+    rows = view(spark, d, _ER)
+    results = rows.withColumn("warnings", F.when(F.col("warned"), strings(["w"])).otherwise(strings([])))
+    texts = rows.select(F.col("requirement_id").alias("req_id"), F.col("original").alias("text"))
+    return reads.enrichment_view(results, texts, " Command", "succeeded", unsure=True, warned=True).select("requirement_id", "status", "confidence")
+
+
+@query(f"SELECT term FROM (SELECT term, row_number() OVER (PARTITION BY lower(term) ORDER BY idx, p) AS r FROM (SELECT idx, unnest(string_split(text, ' ')) AS term, generate_subscripts(string_split(text, ' '), 1) AS p FROM ({S}) s) t) u WHERE r = 1")
+def q79_displayed_terms(spark, d):
+    return reads.displayed_terms(view(spark, d, S).withColumn("domain_terms", F.split("text", " ")), "idx").select("term")
+
+
+_ND = f"SELECT idx AS id, label, prob FROM ({V}) v WHERE idx % 7 <> 0"
+
+
+@query(f"WITH {_EXPL}, nd AS ({_ND}) SELECT source, target, weight, a.label AS source_label, a.prob AS source_prob, b.label AS target_label, b.prob AS target_prob FROM ex JOIN nd a ON a.id = source JOIN nd b ON b.id = target WHERE weight >= 0.5 AND relation = 'reference'")
+def q80_edges_with_nodes(spark, d):
+    return reads.edges_with_nodes(dependency.explicit_edges(view(spark, d, S)), view(spark, d, _ND), 0.5, "reference").select("source", "target", "weight", "source_label", "source_prob", "target_label", "target_prob")
+
+
+@query(f"SELECT id, CAST(label AS DOUBLE) AS x, row_number() OVER (PARTITION BY label ORDER BY id) - 1 - (count(*) OVER (PARTITION BY label) - 1) / 2 AS y FROM ({_ND}) n")
+def q81_layered(spark, d):
+    return reads.layered(view(spark, d, _ND), "label").select("id", "x", "y")
+
+
+@query(f"SELECT label, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members, round(sum(prob), 6) AS prob FROM ({_ND}) n GROUP BY label")
+def q82_grouped(spark, d):
+    out = reads.grouped(view(spark, d, _ND), "label", ["prob"])
+    return out.select("label", F.array_join(F.transform("members", lambda m: m["id"].cast("string")), ",").alias("members"), F.round(F.aggregate("members", F.lit(0.0), lambda s, m: s + m["prob"]), 6).alias("prob"))
+
+
+@query(f"SELECT CAST(label AS INT) AS cluster_id, count(*) AS size FROM ({V}) v WHERE label >= 0 GROUP BY label ORDER BY size DESC, cluster_id")
+def q83_clusters_by_size(spark, d):
+    return reads.clusters_by_size(view(spark, d, V).where("label >= 0").groupBy(F.col("label").cast("int").alias("cluster_id")).agg(F.count("*").alias("size")))
+
+
+_EV = f"""SELECT idx AS requirement_db_id, original AS text, CASE WHEN idx % 7 = 0 THEN 'other text' ELSE original END AS hashed, CASE WHEN idx % 11 = 0 THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN idx % 13 = 0 THEN 'old' ELSE 'v1' END AS prompt_version, 'echo' AS provider, 'm' AS model, enriched AS expanded_text,
+ CASE idx % 5 WHEN 0 THEN '[1,' WHEN 1 THEN '{{"a":1}}' WHEN 2 THEN NULL ELSE '["a"]' END AS terms, CASE idx % 3 WHEN 0 THEN '{{"a":1}}' WHEN 1 THEN NULL ELSE '{{}}' END AS report FROM ({E}) e"""
+_HOLDS = "hashed = text AND status = 'succeeded' AND prompt_version = 'v1' AND trim(expanded_text) <> ''"
+
+
+def _stored(spark, d):
+    return view(spark, d, _EV).withColumn("requirement_text_hash", F.sha2("hashed", 256))
+
+
+@query(f"SELECT requirement_db_id FROM ({_EV}) e WHERE {_HOLDS} AND (terms IS NULL OR (json_valid(terms) AND json_type(terms) = 'ARRAY')) AND (report IS NULL OR (json_valid(report) AND json_type(report) = 'OBJECT'))")
+def q84_valid_enrichments(spark, d):
+    rows = _stored(spark, d)
+    return reads.valid_enrichments(rows.drop("text"), rows.select(F.col("requirement_db_id").alias("id"), "text"), "v1", "echo", "m", ("terms",), ("report",)).select("requirement_db_id")
+
+
+class _Echo:
+    """Answers alike, and fails where the requirement names the link budget."""
+
+    name, model = "echo", "m"
+
+    def complete(self, prompt: str) -> str:
+        if "link budget" in prompt:
+            raise TimeoutError("no answer")
+        return '{"expanded_text": "said", "domain_terms": [], "functional_intent": "", "mentioned_components": [], "assumptions": [], "confidence": 2, "warnings": []}'
+
+
+@query(f"SELECT requirement_db_id, CASE WHEN {_HOLDS} THEN 'reused' WHEN contains(text, 'link budget') THEN 'failed' ELSE 'succeeded' END AS status FROM ({_EV}) e")
+def q85_enrich_missing(spark, d):
+    rows = _stored(spark, d)
+    reused, made = providers.enrich_missing(rows.select(F.col("requirement_db_id").alias("id"), "text"), rows.drop("text"), _Echo(), "v1")
+    return reused.select("requirement_db_id", F.lit("reused").alias("status")).unionByName(made.select("requirement_db_id", "status"))
+
+
+_SOME = f"SELECT idx AS id, req_id, text FROM ({S}) s WHERE idx % 4 <> 0"
+
+
+def _named(s: str) -> str:
+    return f"coalesce({s}r.req_id, 'REQ-' || CAST(cf.{s} AS VARCHAR)) AS {s}_label, coalesce({s}r.text, '') AS {s}_text"
+
+
+@query(f"WITH cf AS ({ORACLES['q42_conflicts']}), rq AS ({_SOME}) SELECT cf.a, cf.b, {_named('a')}, {_named('b')}, '{W.CONFLICT_MESSAGE.split('%s')[0]}' || coalesce(ar.req_id, CAST(cf.a AS VARCHAR)) || '{W.CONFLICT_MESSAGE.split('%s')[1]}' || coalesce(br.req_id, CAST(cf.b AS VARCHAR)) || '{W.CONFLICT_MESSAGE.split('%s')[2]}' AS message FROM cf LEFT JOIN rq ar ON ar.id = cf.a LEFT JOIN rq br ON br.id = cf.b")
+def q86_named_conflicts(spark, d):
+    return reads.named_conflicts(constraints.conflicts(view(spark, d, K)), view(spark, d, _SOME))
+
+
+@query(f"WITH {_EXPL}, r AS (SELECT idx * 10 + 5 AS id, req_id, row_number() OVER (ORDER BY idx) - 1 AS n FROM s) SELECT a.id AS source_id, b.id AS target_id, a.req_id AS source_req_id, b.req_id AS target_req_id, relation FROM ex LEFT JOIN r a ON a.n = source LEFT JOIN r b ON b.n = target")
+def q87_edges_by_id(spark, d):
+    rows = view(spark, d, S)
+    return reads.edges_by_id(dependency.explicit_edges(rows), rows.select((F.col("idx") * 10 + 5).alias("id"), "req_id")).select("source_id", "target_id", "source_req_id", "target_req_id", "relation")
+
+
+@query(f"SELECT id, requirement_id, status FROM ({C}) c WHERE status = 'pending' ORDER BY created_at DESC, id DESC")
+def q88_feedback_queue(spark, d):
+    return reads.newest_first(view(spark, d, C), status="pending").select("id", "requirement_id", "status")
+
+
+@query(f"SELECT c.cluster_id, c.label AS cluster_label, r.id, r.req_id FROM ({_CL}) c LEFT JOIN ({_RN}) r ON r.cluster_id = c.cluster_id WHERE c.cluster_id = 2")
+def q89_cluster_detail(spark, d):
+    return reads.cluster_detail(view(spark, d, _CL), view(spark, d, _RN), 2).select("cluster_id", "cluster_label", "id", "req_id")
+
+
+@query(_CENT + f", t AS ({S}), rep AS (SELECT label, idx, row_number() OVER (PARTITION BY label ORDER BY round(sim, 12) DESC, idx DESC) AS rank FROM sim) SELECT rep.label, string_agg(trim(t.text), '; ' ORDER BY rank) AS summary FROM rep JOIN t ON t.idx = rep.idx WHERE rank <= 3 GROUP BY rep.label")
+def q90_summary_texts(spark, d):
+    return reads.summary_texts(vectors.representatives(view(spark, d, V)), view(spark, d, S).select("idx", "text"))
+
+
+@query()
+def q91_generate_suggestions(spark, d):
+    return suggest.generate_suggestions(_in_two(view(spark, d, V)), view(spark, d, _CL), 0.1, vector="embedding", min_spread=0.0)
+
+
+@query("WITH k AS (SELECT unnest(range(200)) AS k) SELECT k AS id, 'REQ-' || lpad(CAST(k AS VARCHAR), 5, '0') AS req_id, " + "replace(replace(replace(" + f"{fixtures.PATTERNS!r}[k % 8 + 1], '{{s}}', {fixtures.SUBSYSTEMS!r}[k // 8 % 8 + 1]), '{{n}}', CAST(k * 7 % 90 + 10 AS VARCHAR)), '{{ref}}', 'REQ-' || lpad(CAST(greatest(k - 1, 0) AS VARCHAR), 5, '0')) AS text, {fixtures.SUBSYSTEMS!r}[k // 8 % 8 + 1] AS module FROM k")
+def q92_fixture(spark, d):
+    return fixtures.requirements(spark, 200)
+
+
+@query(ORACLES["q55_export_csv_rows"])
+def q93_export_dispatch(spark, d):
+    return export.export_session(" CSV", 1, "s", view(spark, d, _RQ), view(spark, d, _CL), _edges(spark, d), "2000-01-01T00:00:00Z")[0]
+
+
 def cluster_profile(spark: SparkSession, d: str) -> DataFrame:
     """Per cluster: size, coherence, spread and its three representatives."""
     v = view(spark, d, V)

@@ -79,3 +79,17 @@ def xmi(name: str, requirements: DataFrame, clusters: DataFrame, edges: DataFram
 def feedback_rows(corrections: DataFrame) -> DataFrame:
     """The nine columns of the feedback export, newest first."""
     return corrections.orderBy(F.desc("created_at"), F.desc("id")).select("id", "requirement_id", "previous_cluster_id", "new_cluster_id", "confidence_score", "comments", "applied_by", "status", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"))
+
+
+#: Of each format: media type and file ending.
+FORMATS = {"reqif": ("application/xml", "reqif"), "sysml": ("application/xml", "xmi"), "jama": ("application/json", "json"), "csv": ("text/csv", "csv")}
+
+
+def export_session(kind: str, session_id: int, name: str, requirements: DataFrame, clusters: DataFrame, edges: DataFrame, timestamp: str) -> tuple[DataFrame, str, str]:
+    """A session in one of the formats, its media type and file name. edges hold ids (edges_by_id); csv gives rows, the others one document. An unknown format is a ValueError."""
+    kind = (kind or "").strip().lower()
+    if kind not in FORMATS:
+        raise ValueError(f"unsupported format {kind!r}; use one of {', '.join(sorted(FORMATS))}")
+    made = {"reqif": lambda: reqif(name, requirements, clusters, timestamp), "sysml": lambda: xmi(name, requirements, clusters, edges), "jama": lambda: bundle(name, requirements, clusters, edges), "csv": lambda: csv_rows(requirements, clusters)}
+    media, ending = FORMATS[kind]
+    return made[kind](), media, f"session_{session_id}.{ending}"

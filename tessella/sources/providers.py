@@ -8,9 +8,10 @@ import urllib.error
 import urllib.request
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import components, dedupe_fold, domain_terms, intent, ngrams, plain_text, strings, vocabulary_tokens
 
@@ -85,16 +86,36 @@ def enrich(df: DataFrame, provider: Provider, text: str = "text") -> DataFrame:
     """df with reply fields from a provider; a failed call or an unusable reply is status 'failed' with its message, never an exception."""
     asked = df.withColumn("__p", prompt(plain_text(text), local_terms(F.col(text))))
 
-    @F.pandas_udf("struct<reply:string,error:string>")
-    def call(s: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p in s:
-            try:
-                rows.append((provider.complete(p), None))
-            except Exception as e:  # noqa: BLE001 a failed row is a record
-                rows.append((None, f"{type(e).__name__}: {e}"[:500]))
-        return pd.DataFrame(rows, columns=["reply", "error"])
-
-    got = asked.withColumn("__r", call("__p")).withColumn("__x", parse_reply(F.col("__r.reply")))
+    names = asked.columns
+
+    def call(batches):
+        for b in batches:
+            replies, errors = [], []
+            for p in b.column(names.index("__p")).to_pylist():
+                reply = error = None
+                try:
+                    reply = provider.complete(p)
+                except Exception as e:  # noqa: BLE001 a failed row is a record
+                    error = f"{type(e).__name__}: {e}"[:500]
+                replies.append(reply)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], [*names, "__reply", "__error"])
+
+    more = [StructField("__reply", StringType()), StructField("__error", StringType())]
+    got = asked.mapInArrow(call, StructType([*asked.schema.fields, *more])).withColumn("__x", parse_reply(F.col("__reply")))
     status = F.when(F.col("__x").isNotNull(), "succeeded").otherwise("failed")
-    return got.select(*df.columns, "__x.*", status.alias("status"), F.when(status == "failed", F.coalesce("__r.error", F.lit("reply could not be used"))).alias("error_message"))
+    return got.select(*df.columns, "__x.*", status.alias("status"), F.when(status == "failed", F.coalesce("__error", F.lit("reply could not be used"))).alias("error_message"))
+
+
+def enrich_missing(requirements: DataFrame, stored: DataFrame, provider: Provider, prompt_version: str) -> tuple[DataFrame, DataFrame]:
+    """(reused, made): stored results that still hold for requirements(id, text), and new rows for the others alone, keyed as stored ones are.
+
+    Requests run as many at a time as Spark has tasks for the rows; one that fails is a row with its error.
+    """
+    from ..operators.reads import valid_enrichments
+
+    reused = valid_enrichments(stored, requirements, prompt_version, provider.name, provider.model)
+    missing = requirements.join(reused.select(F.col("requirement_db_id").alias("id")), "id", "left_anti")
+    made = enrich(missing.select("id", "text"), provider)
+    keyed = made.withColumns({"requirement_db_id": F.col("id"), "requirement_text_hash": F.sha2(F.coalesce("text", F.lit("")), 256), "provider": F.lit(provider.name), "model": F.lit(provider.model), "prompt_version": F.lit(prompt_version)})
+    return reused, keyed.drop("id", "text")
