@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .scratch import Scratch
+from .scratch import partitions
 
 #: Text of a block of documents; a block's words and ids are what a task holds at a time.
 _BLOCK = 8 << 20
-#: Rows of a batch of words.
-_ROWS = 50_000
+#: Words that a task keeps of its slice; beyond them, it starts anew.
+_KEEP = 400_000
 
 
 def _squeeze(numbers: np.ndarray) -> bytes:
@@ -32,7 +33,7 @@ def _open(raw) -> np.ndarray:
 
 
 def split_words(docs: DataFrame) -> DataFrame:
-    """(block, doc_ids, counts, codes, words) of docs(doc_id, text): about 8 MB of text in the order of the rows, as the distinct words of the block and every document's words as numbers into them."""
+    """(block, check, doc_ids, counts, codes, words) of docs(doc_id, text): about 8 MB of text in the order of the rows, as the distinct words of the block (check: their crc32) and every document's words as numbers into them."""
 
     def work(batches):
         from pyspark import TaskContext
@@ -41,7 +42,8 @@ def split_words(docs: DataFrame) -> DataFrame:
         ids, counts, codes, index, size = [], [], [], {}, 0
 
         def block():
-            return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "counts": pa.array([_squeeze(np.array(counts, np.uint32))], pa.binary()), "codes": pa.array([_squeeze(np.array(codes, np.uint32))], pa.binary()), "words": pa.array([zstandard.ZstdCompressor(level=3).compress(b"\n".join(index))], pa.binary())})
+            words = b"\n".join(index)
+            return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "check": pa.array([zlib.crc32(words)], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "counts": pa.array([_squeeze(np.array(counts, np.uint32))], pa.binary()), "codes": pa.array([_squeeze(np.array(codes, np.uint32))], pa.binary()), "words": pa.array([zstandard.ZstdCompressor(level=3).compress(words)], pa.binary())})
 
         for b in batches:
             off, data = spans.buffers(b.column(1))
@@ -59,25 +61,30 @@ def split_words(docs: DataFrame) -> DataFrame:
         if ids:
             yield block()
 
-    return docs.mapInArrow(work, "block long, doc_ids array<long>, counts binary, codes binary, words binary")
+    return docs.mapInArrow(work, "block long, check long, doc_ids array<long>, counts binary, codes binary, words binary")
 
 
 def encode_words(blocks: DataFrame, tokenizer: str) -> DataFrame:
-    """(block, number, ids): the ids of every block's words, as 32-bit numbers in bytes.
+    """(block, check, numbers, ids): of a block's words with one remainder of their hash, the numbers and ids.
 
-    A word is one row per block that has it, dealt and sorted by word, so
-    equal words follow each other, and each is encoded once. A task holds one batch
-    of rows; the commonest word has a row per block, not one per occurrence.
+    A bundle holds those words of one block; the bundles of one remainder
+    (slice) meet in a task in turn, and a word is encoded where it comes
+    first. There are no more bundles than words in blocks, and
+    a task holds a batch of them and a bounded table of words.
     """
+    slices = 4 * partitions(blocks.sparkSession)
 
-    def unpack(batches):
+    def deal(batches):
         for b in batches:
-            for block, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = zstandard.ZstdDecompressor().decompress(raw.as_buffer()).split(b"\n")
-                words = words if words != [b""] else []
-                for i in range(0, len(words), _ROWS):
-                    part = words[i : i + _ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([block] * len(part), pa.int64()), pa.array(range(i, i + len(part)), pa.int32())], ["word", "block", "number"])
+            for block, check, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                words = zstandard.ZstdDecompressor().decompress(raw.as_buffer())
+                words = words.split(b"\n") if words else []
+                slot = np.fromiter((zlib.crc32(w) % slices for w in words), np.int64, len(words))
+                order = np.argsort(slot, kind="stable")
+                cut = np.flatnonzero(np.diff(slot[order], prepend=-1)) if len(order) else []
+                press = zstandard.ZstdCompressor(level=3).compress
+                rows = [(int(slot[own[0]]), _squeeze(np.diff(own, prepend=0)), press(b"\n".join([words[i] for i in own.tolist()]))) for own in np.split(order, cut[1:]) if len(own)]
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int64()), "check": pa.array([check] * len(rows), pa.int64()), "numbers": pa.array([r[1] for r in rows], pa.binary()), "words": pa.array([r[2] for r in rows], pa.binary())})
 
     def encode(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -86,20 +93,22 @@ def encode_words(blocks: DataFrame, tokenizer: str) -> DataFrame:
         model = Tokenizer.from_file(tokenizer)
         model.no_truncation()
         model.no_padding()
-        last, kept = None, b""
+        at, table = None, {}
         for b in batches:
-            if not b.num_rows:
-                continue
-            words = b.column(0).to_pylist()
-            new = [w for w, before in zip(words, [last, *words], strict=False) if w != before]
-            table = dict(zip(new, [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)], strict=True))
-            if words[0] == last:
-                table[last] = kept
-            last, kept = words[-1], table[words[-1]]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([table[w] for w in words], pa.binary())], ["block", "number", "ids"])
+            out = []
+            for slot, raw in zip(b.column(0).to_pylist(), b.column(4), strict=True):
+                words = zstandard.ZstdDecompressor().decompress(raw.as_buffer()).split(b"\n")
+                if slot != at or len(table) > _KEEP:
+                    at, table = slot, {}
+                new = [w for w in words if w not in table]
+                if new:
+                    table.update(zip(new, [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)], strict=True))
+                ids = [table[w] for w in words]
+                out.append(_squeeze(np.concatenate([np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), "<u4")])))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(out, pa.binary())], ["block", "check", "numbers", "ids"])
 
-    rows = blocks.select("block", "words").mapInArrow(unpack, "word binary, block long, number int")
-    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, number int, ids binary")
+    rows = blocks.select("block", "check", "words").mapInArrow(deal, "slice int, block long, check long, numbers binary, words binary")
+    return rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(encode, "block long, check long, numbers binary, ids binary")
 
 
 def pieces(tokenizer: str) -> pa.Array:
@@ -115,13 +124,17 @@ def word_table_codec(docs: DataFrame, tokenizer: str, outputs: str = "digest") -
 
     For tokenizers that drop white space, never join across it and have no
     decoder of their own, so that decoding puts spaces between pieces.
-    Documents are split into words and grouped into blocks, a written table
-    of word numbers; the blocks' distinct words are shuffled by word, each
+    Documents are split into words and grouped into blocks, their texts
+    replaced by word numbers; the blocks' distinct words meet by hash, each
     is encoded once, and the ids are joined back to the blocks by number and
     to the texts by position. Ids are decoded by a join with the table of
     pieces, whose size is the vocabulary's. What a task holds is bounded by
     a block, whatever the corpus has; a text of more than a block is one.
 
+    docs is read twice and must give the same rows in the same partitions
+    both times, as stored tables do; where a block's words differ it is an
+    error, never a wrong id.
+
     outputs 'digest': doc_id, n_tokens, ids_sha256, decoded_sha256; 'full':
     doc_id, ids (binary, little-endian 32-bit), decoded. Null texts are
     empty; texts without words have no ids and decode to the empty text;
@@ -130,18 +143,23 @@ def word_table_codec(docs: DataFrame, tokenizer: str, outputs: str = "digest") -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digest = outputs == "digest"
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids binary, decoded string"
-    blocks = Scratch(docs.sparkSession, "word-table").table(split_words(docs), "blocks")
+    blocks = split_words(docs)
     table = pieces(tokenizer)
     shared = docs.sparkSession.sparkContext.broadcast(table.to_pylist())
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         piece = pa.array(shared.value, pa.string())
-        right = right.combine_chunks()
-        order = np.argsort(right.column("number").to_numpy(), kind="stable")
-        ids = pc.take(right.column("ids"), pa.array(order)).combine_chunks() if len(order) else pa.array([], pa.binary())
-        off, data = spans.buffers(ids)
-        flat = data[off[0] : off[-1]].view("<u4") if len(order) else np.zeros(0, "<u4")
-        size, start = np.diff(off) // 4, (off[:-1] - off[0]) // 4
+        if set(right.column("check").to_pylist()) - set(left.column("check").to_pylist()):
+            raise ValueError("docs gave other rows when read again")
+        numbers, sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+        for n, raw in zip(right.column("numbers"), right.column("ids"), strict=True):
+            own, packed = np.cumsum(_open(n.as_buffer()).astype(np.int64)), _open(raw.as_buffer())
+            numbers.append(own)
+            sizes.append(packed[: len(own)].astype(np.int64))
+            flat.append(packed[len(own) :])
+        number, length, flat = np.concatenate(numbers), np.concatenate(sizes), np.concatenate(flat)
+        size, start = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        size[number], start[number] = length, np.cumsum(length) - length
         rows = []
         for who, counts, codes in zip(left.column("doc_ids"), left.column("counts"), left.column("codes"), strict=True):
             who, codes = who.as_py(), _open(codes.as_buffer())
@@ -158,5 +176,5 @@ def word_table_codec(docs: DataFrame, tokenizer: str, outputs: str = "digest") -
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()] if digest else [pa.int64(), pa.binary(), pa.string()]
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    held = blocks.select("block", "doc_ids", "counts", "codes")
+    held = blocks.select("block", "check", "doc_ids", "counts", "codes")
     return held.groupBy("block").cogroup(encode_words(blocks, tokenizer).groupBy("block")).applyInArrow(join, schema)
