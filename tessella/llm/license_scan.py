@@ -25,8 +25,12 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."), ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
 ]
 
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_TAIL = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+
 #: Texts that the scan knows besides those of the SQL.
-WHOLE: list[tuple[str, str]] = [("ISC", _ISC_WHOLE)]
+WHOLE: list[tuple[str, str]] = [("ISC", _ISC_WHOLE), ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL), ("BSD-3-Clause", _BSD_HEAD + _BSD_NAMES + _BSD_TAIL)]
 
 
 def normalised(text: Column) -> Column:
@@ -37,18 +41,49 @@ def normalised(text: Column) -> Column:
 
 def bigrams(text: Column) -> Column:
     """Distinct word bigrams of a normalised text, as 64-bit hashes; none for fewer than two words."""
-    words = F.filter(F.split(text, " +"), lambda w: w != "")
-    return F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 1, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1))))).otherwise(F.array().cast("array<bigint>"))), F.lit(0))
+    return F.get(F.transform(F.array(_words(text)), lambda w: F.when(F.size(w) > 1, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1))))).otherwise(F.array().cast("array<bigint>"))), F.lit(0))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, " +"), lambda w: w != "")
 
 
-def _templates(spark: SparkSession, templates: list[tuple[str, str]], num: int, den: int) -> list[tuple[str, list[int], int, int]]:
-    """(name, bigrams, least and most bigrams of a text that can reach the coefficient num/den)."""
-    rows = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(templates)], "i int, name string, text string").select("i", "name", bigrams(normalised(F.col("text"))).alias("b")).orderBy("i").collect()
-    return [(r["name"], sorted(r["b"]), -(-len(r["b"]) * num // (2 * den - num)), len(r["b"]) * (2 * den - num) // num) for r in rows if r["b"]]
+def _templates(spark: SparkSession, templates: list[tuple[str, str]], num: int, den: int) -> list[tuple[str, list[int], int, int, int]]:
+    """(name, bigrams, least and most bigrams of a text that can reach the coefficient num/den, most word pairs of a run of lines)."""
+    rows = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(templates)], "i int, name string, text string").select("i", "name", bigrams(normalised(F.col("text"))).alias("b"), F.size(_words(normalised(F.col("text")))).alias("n")).orderBy("i").collect()
+    return [(r["name"], sorted(r["b"]), -(-len(r["b"]) * num // (2 * den - num)), len(r["b"]) * (2 * den - num) // num, (r["n"] - 1) * (2 * den - num) // num) for r in rows if r["b"]]
+
+
+def _nearest_run(name: str, own: Column, size: int, least: int, pairs: int, num: int, den: int) -> Column:
+    """Of the runs of two or more lines that match a template, the nearest, and of equal ones the first; null if none does.
+
+    Over __words (line, place in its line, size of its line) and __pairs (line, place
+    of its first word, bigram). A first line without a bigram of the template
+    can go without loss, so runs begin only at lines that have one; they end
+    at ends of lines within the size bounds, and hold no line of __alone.
+    """
+    shared = F.filter(F.transform("__pairs", lambda p, i: F.struct((i - p["place"]).alias("at"), p["h"].alias("h"))), lambda p: F.array_contains(own, p["h"]))
+    starts = F.array_distinct(F.transform(shared, lambda p: p["at"]))
+    last = F.size("__words") - 1
+
+    def run(s: Column, e: Column) -> Column:
+        b = F.array_distinct(F.transform(F.slice("__pairs", s + 1, e - s), lambda p: p["h"]))
+        both, of = F.size(F.array_intersect(b, own)), F.size(b) + size
+        first, end = F.get("__words", s)["line"], F.get("__words", e)["line"]
+        return F.struct((both * 2 / of).alias("near"), (-first).alias("before"), end.alias("to"), both.alias("both"), of.alias("of"))
+
+    def ending(s: Column) -> Column:
+        ends = F.when(s + least <= last, F.sequence(s + least, F.least(s + pairs, last))).otherwise(F.array().cast("array<int>"))
+        whole = F.filter(ends, lambda e: (F.get("__words", e)["place"] == F.get("__words", e)["size"] - 1) & (F.get("__words", e)["line"] > F.get("__words", s)["line"]))
+        clear = F.filter(whole, lambda e: ~F.exists("__alone", lambda k: (k >= F.get("__words", s)["line"]) & (k <= F.get("__words", e)["line"])))
+        return F.array_max(F.filter(F.transform(clear, lambda e: run(s, e)), lambda r: r["both"] * 2 * den >= r["of"] * num))
+
+    best = F.array_max(F.filter(F.transform(starts, ending), lambda r: r.isNotNull()))
+    return F.when(best.isNotNull(), F.struct(F.lit(name).alias("name"), best["near"].alias("near"), (-best["before"]).alias("from"), best["to"].alias("to")))
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, coefficient: tuple[int, int] = (8, 10)) -> DataFrame:
-    """docs with the licences that a text, or one of its lines, matches.
+    """docs with the licences that a text, one of its lines, or a run of its lines matches.
 
     The whole text and each of its lines are normalised and compared with
     every template (of several matches, the nearest counts, all if alike) by the Dice coefficient 2|A and B| / (|A| + |B|) of their
@@ -56,38 +91,71 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     under the limit is not compared, and a segment that no template's size
     allows is left at its count.
 
+    Where the whole text does not match, runs of two or more consecutive lines
+    are compared too, joined by a blank: a licence wrapped over lines with other
+    text around it. A template takes part if the text has as many of its
+    bigrams as a match needs and neither the text nor a line matched its name. A
+    run has at least that many word pairs and at most (2 - c) / c times those of
+    the template, c being the limit, and holds no line that matches by itself.
+    Of a template's matching runs the nearest counts, once a text, and of
+    overlapping runs of several templates the nearest (all if alike).
+
     Adds n_bigrams (long, of the whole text), licenses (array of distinct
-    names, sorted), n_matches (matching pairs of segment and template) and
-    best (double, the largest coefficient among the matches, else 0);
+    names, sorted), n_matches (matching pairs of segment and template; of runs,
+    names) and best (double, the largest coefficient among the matches, else 0);
     columns of these names in docs are replaced, all others stay. A null
-    text is empty; texts of under two words match nothing. Rows are judged
-    one by one, so ties and repeated rows change nothing.
+    text is empty; texts of under two words match nothing; a very long text
+    costs in proportion to its length. Rows are judged one by one, so ties and
+    repeated rows change nothing, and an empty table gives an empty one.
     """
     num, den = coefficient
     made = ["n_bigrams", "licenses", "n_matches", "best"]
     docs = docs.drop(*made)
     names = [F.col(c) for c in docs.columns]
-    known = _templates(docs.sparkSession, [*TEMPLATES, *WHOLE] if templates is None else templates, num, den)
+    known = [(name, F.lit(own), len(own), *bounds) for name, own, *bounds in _templates(docs.sparkSession, [*TEMPLATES, *WHOLE] if templates is None else templates, num, den)]
+    every = F.array_distinct(F.flatten(F.array(*[k[1] for k in known]))) if known else F.array().cast("array<bigint>")
     text = F.coalesce("text", F.lit(""))
     split = docs.select("*", normalised(F.regexp_replace(text, "\n", " ")).alias("__whole"), F.when(F.contains(text, F.lit("\n")), F.transform(F.split(text, "\n"), normalised)).otherwise(F.array().cast("array<string>")).alias("__lines"))
-    counted = split.select(*names, bigrams(F.col("__whole")).alias("__whole"), F.transform("__lines", bigrams).alias("__lines"))
-    lo, hi = min((k[2] for k in known), default=1), max((k[3] for k in known), default=0)
+    counted = split.select(*names, bigrams(F.col("__whole")).alias("__whole"), F.transform("__lines", bigrams).alias("__lines"), F.col("__lines").alias("__texts"))
+    lo, hi = min((k[3] for k in known), default=1), max((k[4] for k in known), default=0)
     segments = F.transform(F.concat(F.array("__whole"), F.col("__lines")), lambda b, k: F.struct(k.alias("k"), b.alias("b")))
     fits = F.filter(segments, lambda s: (F.size(s["b"]) >= lo) & (F.size(s["b"]) <= hi))
-    counted = counted.select(*names, F.size("__whole").cast("long").alias("n_bigrams"), fits.alias("__fits"))
+    some = F.when(F.size("__lines") > 1, F.array_intersect("__whole", every)).otherwise(F.array().cast("array<bigint>"))
+    counted = counted.select(*names, F.size("__whole").cast("long").alias("n_bigrams"), fits.alias("__fits"), some.alias("__some"), "__texts")
 
-    def hits(name: str, own: list[int], least: int, most: int) -> Column:
+    def hits(name: str, own: Column, size: int, least: int, most: int) -> Column:
         near = F.filter("__fits", lambda s: (F.size(s["b"]) >= least) & (F.size(s["b"]) <= most))
-        shared = F.transform(near, lambda s: F.struct(F.lit(name).alias("name"), s["k"].alias("k"), F.size(F.array_intersect(s["b"], F.lit(own))).alias("both"), (F.size(s["b"]) + len(own)).alias("of")))
+        shared = F.transform(near, lambda s: F.struct(F.lit(name).alias("name"), s["k"].alias("k"), F.size(F.array_intersect(s["b"], own)).alias("both"), (F.size(s["b"]) + size).alias("of")))
         return F.filter(shared, lambda s: s["both"] * 2 * den >= s["of"] * num)
 
     empty = F.array().cast("array<struct<name:string,k:int,both:int,of:int>>")
-    found = counted.select(*names, "n_bigrams", F.when(F.size("__fits") == 0, empty).otherwise(F.concat(empty, *[hits(*k) for k in known])).alias("__hits"))
+    found = counted.select(*names, "n_bigrams", "__some", "__texts", F.when(F.size("__fits") == 0, empty).otherwise(F.concat(empty, *[hits(*k[:5]) for k in known])).alias("__hits"))
     # of a segment's templates, the nearest
     nearest = F.filter("__hits", lambda h: ~F.exists("__hits", lambda g: (g["k"] == h["k"]) & (g["both"] * h["of"] > h["both"] * g["of"])))
-    found = found.select(*names, "n_bigrams", nearest.alias("__hits"))
-    best = F.coalesce(F.array_max(F.transform("__hits", lambda s: s["both"] * 2 / s["of"])), F.lit(0.0))
-    made_of = F.struct("n_bigrams", F.array_sort(F.array_distinct(F.transform("__hits", lambda s: s["name"]))).alias("licenses"), F.size("__hits").cast("long").alias("n_matches"), best.alias("best"))
+    found = found.select(*names, "n_bigrams", "__some", "__texts", nearest.alias("__hits"))
+
+    # templates whose bigrams the text has, and that neither it nor a line matched
+    none = F.array().cast("array<int>")
+    seen = F.transform("__hits", lambda h: h["name"])
+    sought = [F.when((F.size("__some") >= least) & ~F.array_contains(seen, name) & (F.size(F.array_intersect("__some", own)) >= least), F.lit(i)) for i, (name, own, _, least, _, _) in enumerate(known)]
+    seek = F.when((F.size("__some") < lo) | F.exists("__hits", lambda h: h["k"] == 0), none).otherwise(F.filter(F.concat(none, F.array(*sought)), lambda t: t.isNotNull()) if sought else none)
+    found = found.select(*names, "n_bigrams", "__hits", seek.alias("__seek"), "__texts")
+    placed = F.flatten(F.transform(F.transform("__texts", _words), lambda ws, line: F.transform(ws, lambda w, i: F.struct(w.alias("w"), line.alias("line"), i.alias("place"), F.size(ws).alias("size")))))
+    alone = F.transform("__hits", lambda h: h["k"] - 1)
+    found = found.select(*names, "n_bigrams", "__hits", "__seek", F.when(F.size("__seek") > 0, placed).alias("__words"), F.when(F.size("__seek") > 0, alone).alias("__alone"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("__words") - 2), lambda i: F.struct(F.xxhash64(F.get("__words", i)["w"], F.get("__words", i + 1)["w"]).alias("h"), F.get("__words", i)["place"].alias("place")))
+    found = found.select(*names, "n_bigrams", "__hits", "__seek", "__words", "__alone", F.when(F.size("__seek") > 0, pairs).alias("__pairs"))
+    no_runs = F.array().cast("array<struct<name:string,near:double,from:int,to:int>>")
+    runs = [F.when(F.array_contains("__seek", i), _nearest_run(name, own, size, least, most, num, den)) for i, (name, own, size, least, _, most) in enumerate(known)]
+    runs = F.when(F.size("__seek") == 0, no_runs).otherwise(F.filter(F.concat(no_runs, F.array(*runs)), lambda r: r.isNotNull()) if runs else no_runs)
+    found = found.select(*names, "n_bigrams", "__hits", runs.alias("__runs"))
+    clear = F.filter("__runs", lambda r: ~F.exists("__runs", lambda q: (q["from"] <= r["to"]) & (r["from"] <= q["to"]) & (q["near"] > r["near"])))
+    found = found.select(*names, "n_bigrams", "__hits", clear.alias("__runs"))
+
+    best = F.coalesce(F.array_max(F.concat(F.transform("__hits", lambda s: s["both"] * 2 / s["of"]), F.transform("__runs", lambda r: r["near"]))), F.lit(0.0))
+    run_names = F.array_distinct(F.transform("__runs", lambda r: r["name"]))
+    licenses = F.array_sort(F.array_distinct(F.concat(F.transform("__hits", lambda s: s["name"]), run_names)))
+    made_of = F.struct("n_bigrams", licenses.alias("licenses"), (F.size("__hits") + F.size(run_names)).cast("long").alias("n_matches"), best.alias("best"))
     # a generator keeps filters on the results from being pushed into the expressions above
     return found.select(*names, F.explode(F.array(made_of)).alias("__made")).select(*names, "__made.*")
 
