@@ -48,13 +48,21 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, " +"), lambda w: w != "")
 
 
-def _templates(spark: SparkSession, templates: list[tuple[str, str]], num: int, den: int) -> list[tuple[str, list[int], int, int, int]]:
-    """(name, bigrams, least and most bigrams of a text that can reach the coefficient num/den, most word pairs of a run of lines)."""
+def _templates(spark: SparkSession, templates: list[tuple[str, str]], num: int, den: int) -> tuple[Column, int, int]:
+    """The templates as one constant array, and the least and most bigrams of a segment that can match any.
+
+    Of each: name, own (bigrams), least and most (bigrams of a text that can
+    reach the coefficient num/den), pairs (most word pairs of a run of lines).
+    """
     rows = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(templates)], "i int, name string, text string").select("i", "name", bigrams(normalised(F.col("text"))).alias("b"), F.size(_words(normalised(F.col("text")))).alias("n")).orderBy("i").collect()
-    return [(r["name"], sorted(r["b"]), -(-len(r["b"]) * num // (2 * den - num)), len(r["b"]) * (2 * den - num) // num, (r["n"] - 1) * (2 * den - num) // num) for r in rows if r["b"]]
+    rows = [r for r in rows if r["b"]]
+    least = [-(-len(r["b"]) * num // (2 * den - num)) for r in rows]
+    most = [len(r["b"]) * (2 * den - num) // num for r in rows]
+    each = [F.struct(F.lit(r["name"]).alias("name"), F.lit(sorted(r["b"])).alias("own"), F.lit(x).alias("least"), F.lit(y).alias("most"), F.lit((r["n"] - 1) * (2 * den - num) // num).alias("pairs")) for r, x, y in zip(rows, least, most, strict=True)]
+    return F.array(*each).cast("array<struct<name:string,own:array<bigint>,least:int,most:int,pairs:int>>"), min(least, default=1), max(most, default=0)
 
 
-def _nearest_run(name: str, own: Column, size: int, least: int, pairs: int, num: int, den: int) -> Column:
+def _nearest_run(t: Column, num: int, den: int) -> Column:
     """Of the runs of two or more lines that match a template, the nearest, and of equal ones the first; null if none does.
 
     Over __words (line, place in its line, size of its line) and __pairs (line, place
@@ -62,24 +70,24 @@ def _nearest_run(name: str, own: Column, size: int, least: int, pairs: int, num:
     can go without loss, so runs begin only at lines that have one; they end
     at ends of lines within the size bounds, and hold no line of __alone.
     """
-    shared = F.filter(F.transform("__pairs", lambda p, i: F.struct((i - p["place"]).alias("at"), p["h"].alias("h"))), lambda p: F.array_contains(own, p["h"]))
+    shared = F.filter(F.transform("__pairs", lambda p, i: F.struct((i - p["place"]).alias("at"), p["h"].alias("h"))), lambda p: F.array_contains(t["own"], p["h"]))
     starts = F.array_distinct(F.transform(shared, lambda p: p["at"]))
     last = F.size("__words") - 1
 
     def run(s: Column, e: Column) -> Column:
         b = F.array_distinct(F.transform(F.slice("__pairs", s + 1, e - s), lambda p: p["h"]))
-        both, of = F.size(F.array_intersect(b, own)), F.size(b) + size
+        both, of = F.size(F.array_intersect(b, t["own"])), F.size(b) + F.size(t["own"])
         first, end = F.get("__words", s)["line"], F.get("__words", e)["line"]
         return F.struct((both * 2 / of).alias("near"), (-first).alias("before"), end.alias("to"), both.alias("both"), of.alias("of"))
 
     def ending(s: Column) -> Column:
-        ends = F.when(s + least <= last, F.sequence(s + least, F.least(s + pairs, last))).otherwise(F.array().cast("array<int>"))
+        ends = F.when(s + t["least"] <= last, F.sequence(s + t["least"], F.least(s + t["pairs"], last))).otherwise(F.array().cast("array<int>"))
         whole = F.filter(ends, lambda e: (F.get("__words", e)["place"] == F.get("__words", e)["size"] - 1) & (F.get("__words", e)["line"] > F.get("__words", s)["line"]))
         clear = F.filter(whole, lambda e: ~F.exists("__alone", lambda k: (k >= F.get("__words", s)["line"]) & (k <= F.get("__words", e)["line"])))
         return F.array_max(F.filter(F.transform(clear, lambda e: run(s, e)), lambda r: r["both"] * 2 * den >= r["of"] * num))
 
     best = F.array_max(F.filter(F.transform(starts, ending), lambda r: r.isNotNull()))
-    return F.when(best.isNotNull(), F.struct(F.lit(name).alias("name"), best["near"].alias("near"), (-best["before"]).alias("from"), best["to"].alias("to")))
+    return F.when(best.isNotNull(), F.struct(t["name"].alias("name"), best["near"].alias("near"), (-best["before"]).alias("from"), best["to"].alias("to")))
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, coefficient: tuple[int, int] = (8, 10)) -> DataFrame:
@@ -112,33 +120,31 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     made = ["n_bigrams", "licenses", "n_matches", "best"]
     docs = docs.drop(*made)
     names = [F.col(c) for c in docs.columns]
-    known = [(name, F.lit(own), len(own), *bounds) for name, own, *bounds in _templates(docs.sparkSession, [*TEMPLATES, *WHOLE] if templates is None else templates, num, den)]
-    every = F.array_distinct(F.flatten(F.array(*[k[1] for k in known]))) if known else F.array().cast("array<bigint>")
+    known, lo, hi = _templates(docs.sparkSession, [*TEMPLATES, *WHOLE] if templates is None else templates, num, den)
+    every = F.array_distinct(F.flatten(F.transform(known, lambda t: t["own"])))
     text = F.coalesce("text", F.lit(""))
     split = docs.select("*", normalised(F.regexp_replace(text, "\n", " ")).alias("__whole"), F.when(F.contains(text, F.lit("\n")), F.transform(F.split(text, "\n"), normalised)).otherwise(F.array().cast("array<string>")).alias("__lines"))
     counted = split.select(*names, bigrams(F.col("__whole")).alias("__whole"), F.transform("__lines", bigrams).alias("__lines"), F.col("__lines").alias("__texts"))
-    lo, hi = min((k[3] for k in known), default=1), max((k[4] for k in known), default=0)
     segments = F.transform(F.concat(F.array("__whole"), F.col("__lines")), lambda b, k: F.struct(k.alias("k"), b.alias("b")))
     fits = F.filter(segments, lambda s: (F.size(s["b"]) >= lo) & (F.size(s["b"]) <= hi))
     some = F.when(F.size("__lines") > 1, F.array_intersect("__whole", every)).otherwise(F.array().cast("array<bigint>"))
     counted = counted.select(*names, F.size("__whole").cast("long").alias("n_bigrams"), fits.alias("__fits"), some.alias("__some"), "__texts")
 
-    def hits(name: str, own: Column, size: int, least: int, most: int) -> Column:
-        near = F.filter("__fits", lambda s: (F.size(s["b"]) >= least) & (F.size(s["b"]) <= most))
-        shared = F.transform(near, lambda s: F.struct(F.lit(name).alias("name"), s["k"].alias("k"), F.size(F.array_intersect(s["b"], own)).alias("both"), (F.size(s["b"]) + size).alias("of")))
+    def hits(t: Column) -> Column:
+        near = F.filter("__fits", lambda s: (F.size(s["b"]) >= t["least"]) & (F.size(s["b"]) <= t["most"]))
+        shared = F.transform(near, lambda s: F.struct(t["name"].alias("name"), s["k"].alias("k"), F.size(F.array_intersect(s["b"], t["own"])).alias("both"), (F.size(s["b"]) + F.size(t["own"])).alias("of")))
         return F.filter(shared, lambda s: s["both"] * 2 * den >= s["of"] * num)
 
     empty = F.array().cast("array<struct<name:string,k:int,both:int,of:int>>")
-    found = counted.select(*names, "n_bigrams", "__some", "__texts", F.when(F.size("__fits") == 0, empty).otherwise(F.concat(empty, *[hits(*k[:5]) for k in known])).alias("__hits"))
+    found = counted.select(*names, "n_bigrams", "__some", "__texts", F.when(F.size("__fits") == 0, empty).otherwise(F.flatten(F.transform(known, hits))).alias("__hits"))
     # of a segment's templates, the nearest
     nearest = F.filter("__hits", lambda h: ~F.exists("__hits", lambda g: (g["k"] == h["k"]) & (g["both"] * h["of"] > h["both"] * g["of"])))
     found = found.select(*names, "n_bigrams", "__some", "__texts", nearest.alias("__hits"))
 
     # templates whose bigrams the text has, and that neither it nor a line matched
-    none = F.array().cast("array<int>")
     seen = F.transform("__hits", lambda h: h["name"])
-    sought = [F.when((F.size("__some") >= least) & ~F.array_contains(seen, name) & (F.size(F.array_intersect("__some", own)) >= least), F.lit(i)) for i, (name, own, _, least, _, _) in enumerate(known)]
-    seek = F.when((F.size("__some") < lo) | F.exists("__hits", lambda h: h["k"] == 0), none).otherwise(F.filter(F.concat(none, F.array(*sought)), lambda t: t.isNotNull()) if sought else none)
+    sought = F.filter(known, lambda t: (F.size("__some") >= t["least"]) & ~F.array_contains(seen, t["name"]) & (F.size(F.array_intersect("__some", t["own"])) >= t["least"]))
+    seek = F.when((F.size("__some") >= lo) & ~F.exists("__hits", lambda h: h["k"] == 0), sought).otherwise(F.slice(known, 1, 0))
     found = found.select(*names, "n_bigrams", "__hits", seek.alias("__seek"), "__texts")
     placed = F.flatten(F.transform(F.transform("__texts", _words), lambda ws, line: F.transform(ws, lambda w, i: F.struct(w.alias("w"), line.alias("line"), i.alias("place"), F.size(ws).alias("size")))))
     alone = F.transform("__hits", lambda h: h["k"] - 1)
@@ -146,8 +152,8 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     pairs = F.transform(F.sequence(F.lit(0), F.size("__words") - 2), lambda i: F.struct(F.xxhash64(F.get("__words", i)["w"], F.get("__words", i + 1)["w"]).alias("h"), F.get("__words", i)["place"].alias("place")))
     found = found.select(*names, "n_bigrams", "__hits", "__seek", "__words", "__alone", F.when(F.size("__seek") > 0, pairs).alias("__pairs"))
     no_runs = F.array().cast("array<struct<name:string,near:double,from:int,to:int>>")
-    runs = [F.when(F.array_contains("__seek", i), _nearest_run(name, own, size, least, most, num, den)) for i, (name, own, size, least, _, most) in enumerate(known)]
-    runs = F.when(F.size("__seek") == 0, no_runs).otherwise(F.filter(F.concat(no_runs, F.array(*runs)), lambda r: r.isNotNull()) if runs else no_runs)
+    runs = F.filter(F.transform("__seek", lambda t: _nearest_run(t, num, den)), lambda r: r.isNotNull())
+    runs = F.when(F.size("__seek") == 0, no_runs).otherwise(runs)
     found = found.select(*names, "n_bigrams", "__hits", runs.alias("__runs"))
     clear = F.filter("__runs", lambda r: ~F.exists("__runs", lambda q: (q["from"] <= r["to"]) & (r["from"] <= q["to"]) & (q["near"] > r["near"])))
     found = found.select(*names, "n_bigrams", "__hits", clear.alias("__runs"))
