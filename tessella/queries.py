@@ -595,6 +595,11 @@ def q74_plain_text(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", plain_text("text", 200).alias("text"))
 
 
+@query("SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM conversations")
+def q74b_plain_text_whole(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", plain_text("text").alias("text"))
+
+
 _RN = f"SELECT id, req_id, text, cluster_id, coalesce(cluster_id = -1, false) AS is_noise FROM ({_RQ}) r"
 
 
