@@ -83,6 +83,12 @@ def op10_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_table_codec(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op12_binary_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .binary_split import binary_split
+
+    return binary_split(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_token_files, op4_warc, op5_media, op6_license_scan, op7_line_dedup, op8_ngram_join, op9_toxicity, op10_word_table, pipeline)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_token_files, op4_warc, op5_media, op6_license_scan, op7_line_dedup, op8_ngram_join, op9_toxicity, op10_word_table, op12_binary_split, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
