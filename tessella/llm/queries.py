@@ -89,6 +89,12 @@ def op12_binary_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_split(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import vector_codes
+
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,11 +102,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_token_files, op4_warc, op5_media, op6_license_scan, op7_line_dedup, op8_ngram_join, op9_toxicity, op10_word_table, op12_binary_split, pipeline)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_token_files, op4_warc, op5_media, op6_license_scan, op7_line_dedup, op8_ngram_join, op9_toxicity, op10_word_table, op12_binary_split, op13_vector_codes, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
     from .license_scan import oracle
     from .quality_rules import ORACLE_COUNTS
+    from .vector_codes import oracle as codes
 
-    return {"op2_quality_rules": ORACLE_COUNTS, "op6_license_scan": oracle()}
+    return {"op2_quality_rules": ORACLE_COUNTS, "op6_license_scan": oracle(), "op13_vector_codes": codes()}
