@@ -83,6 +83,13 @@ def op10_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_table_codec(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 def op12_binary_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .binary_split import binary_split
 
@@ -102,12 +109,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_token_files, op4_warc, op5_media, op6_license_scan, op7_line_dedup, op8_ngram_join, op9_toxicity, op10_word_table, op12_binary_split, op13_vector_codes, pipeline)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_token_files, op4_warc, op5_media, op6_license_scan, op7_line_dedup, op8_ngram_join, op9_toxicity, op10_word_table, op11_hard_negatives, op12_binary_split, op13_vector_codes, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .hard_negatives import oracle as negatives
     from .license_scan import oracle
     from .quality_rules import ORACLE_COUNTS
     from .vector_codes import oracle as codes
 
-    return {"op2_quality_rules": ORACLE_COUNTS, "op6_license_scan": oracle(), "op13_vector_codes": codes()}
+    return {"op2_quality_rules": ORACLE_COUNTS, "op6_license_scan": oracle(), "op11_hard_negatives": negatives(), "op13_vector_codes": codes()}
