@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .nearby import nearest_rows, similar_pairs
+
 #: Rows of a block of the all-pairs grid.
 BLOCK = 2048
 
@@ -25,27 +27,9 @@ def _grid(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns, own.alias("own")).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(*columns, "own", F.least("own", "other").alias("ba"), F.greatest("own", "other").alias("bb"))
 
 
-def _matrix(series: pd.Series) -> np.ndarray:
-    m = np.nan_to_num(np.stack(series.to_numpy()).astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=m, where=norm > 0)
-
-
 def similarity_edges(df: DataFrame, threshold: float) -> DataFrame:
-    """(i, j, sim): pairs i < j of df(idx, embedding) with cosine of threshold or more, each computed in one task of the block grid."""
-
-    def pairs(t: pd.DataFrame) -> pd.DataFrame:
-        ba, bb = t["ba"].iloc[0], t["bb"].iloc[0]
-        a, b = t[t["own"] == ba], t[t["own"] == bb]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"i": [], "j": [], "sim": []}).astype({"i": "int64", "j": "int64", "sim": "float64"})
-        sim = _matrix(a["embedding"]) @ _matrix(b["embedding"]).T
-        x, y = np.nonzero(sim >= threshold)
-        i, j, s = a["idx"].to_numpy()[x], b["idx"].to_numpy()[y], sim[x, y]
-        keep = i < j if ba == bb else i != j
-        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "sim": s[keep]})
-
-    return _grid(df, ["idx", "embedding"]).groupBy("ba", "bb").applyInPandas(pairs, "i long, j long, sim double")
+    """(i, j, sim): pairs i < j of df(idx, embedding) with cosine of threshold or more."""
+    return similar_pairs(df, threshold)
 
 
 def similarity_graph(df: DataFrame, threshold: float = 0.65, max_nodes: int | None = 500, max_edges: int | None = 2000) -> DataFrame:
@@ -58,28 +42,8 @@ def similarity_graph(df: DataFrame, threshold: float = 0.65, max_nodes: int | No
 
 
 def neighbours(df: DataFrame, k: int, threshold: float | None = None, ties: str = "low") -> DataFrame:
-    """(i, j, sim, rank): each row's k nearest others by cosine; equal ones by lower or higher idx. Every block pair sends k per row at most."""
-
-    def top(t: pd.DataFrame) -> pd.DataFrame:
-        ba, bb = t["ba"].iloc[0], t["bb"].iloc[0]
-        a, b = t[t["own"] == ba], t[t["own"] == bb]
-        out = [pd.DataFrame({"i": [], "j": [], "sim": []}).astype({"i": "int64", "j": "int64", "sim": "float64"})]
-        for x, y in ((a, b), (b, a))[: 1 if ba == bb else 2]:
-            if not len(x) or not len(y):
-                continue
-            y = y.sort_values("idx", ascending=ties == "low")
-            sim = np.round(_matrix(x["embedding"]) @ _matrix(y["embedding"]).T, 12)
-            xi, yi = x["idx"].to_numpy(), y["idx"].to_numpy()
-            sim[xi[:, None] == yi[None, :]] = -np.inf
-            order = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-            s = np.take_along_axis(sim, order, axis=1)
-            ok = s >= (threshold if threshold is not None else -2)
-            out.append(pd.DataFrame({"i": np.repeat(xi, order.shape[1]).reshape(order.shape)[ok], "j": yi[order][ok], "sim": s[ok]}))
-        return pd.concat(out)
-
-    found = _grid(df, ["idx", "embedding"]).groupBy("ba", "bb").applyInPandas(top, "i long, j long, sim double")
-    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("sim"), F.asc("j") if ties == "low" else F.desc("j")))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    """(i, j, sim, rank): each row's k nearest others by cosine; equal ones by lower or higher idx."""
+    return nearest_rows(df, k, threshold, ties)
 
 
 def centroids(df: DataFrame, vector: str = "embedding") -> DataFrame:
