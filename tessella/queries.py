@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import words as W
 from .functions.text import clean_text, comment_confidence, components, intent, plain_text, strings
-from .operators import cluster, commands, compare, constraints, dependency, ingest, reads, refine, suggest, terms, vectors
+from .lineage import cut
+from .operators import cluster, commands, compare, constraints, density, dependency, ingest, layout, nearby, reads, refine, suggest, terms, vectors
 from .plans import pipeline as plan
 from .sources import export, fixtures, providers
 from .tables import cache_misses, text_hash
@@ -536,6 +537,54 @@ def q65_hdbscan(spark, d):
     return cluster.hdbscan(view(spark, d, V).drop("label", "prob"), min_cluster_size=5).select("idx", "label", "prob")
 
 
+_REACH = f"""v AS MATERIALIZED (SELECT idx, embedding::DOUBLE[] AS e FROM ({V}) v), d AS MATERIALIZED (SELECT a.idx AS i, b.idx AS j, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.idx <> b.idx),
+core AS MATERIALIZED (SELECT i AS idx, d AS core FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d) = 3)"""
+
+
+def _points(spark, d):
+    points, _, _ = nearby.distinct_points(view(spark, d, V), "embedding", False, 1)
+    near = nearby.Nearby(points.select("idx", "q"), cosine=False)
+    return points, near, *density.core_distances(points, near, 3, 8)
+
+
+@query(f"WITH {_REACH} SELECT idx, round(core, 6) AS core FROM core")
+def q65b_core_distances(spark, d):
+    return _points(spark, d)[2].select("idx", F.round("core", 6).alias("core"))
+
+
+_HEIGHTS = (1.14, 1.15, 1.16, 1.17, 1.18)
+
+
+@query(f"""WITH RECURSIVE {_REACH}, h AS (SELECT unnest([{', '.join(map(str, _HEIGHTS))}])::DOUBLE AS height), e AS MATERIALIZED (SELECT height, i, j FROM d JOIN core a ON a.idx = i JOIN core b ON b.idx = j JOIN h ON greatest(d, a.core, b.core) <= height),
+r AS (SELECT height, idx AS i, idx AS seen FROM v, h UNION SELECT r.height, r.i, e.j FROM r JOIN e ON e.i = r.seen AND e.height = r.height), c AS (SELECT height, i, min(seen) AS comp FROM r GROUP BY ALL), s AS (SELECT height, comp, count(*) AS n FROM c GROUP BY ALL)
+SELECT height, count(*) AS n_parts, max(n) AS largest FROM s GROUP BY height""")
+def q65c_parts_by_height(spark, d):
+    points, near, own, links = _points(spark, d)
+    edges = cut(density.spanning_edges(points, near, cut(own), links))
+    heights = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(h).alias("height")) for k, h in enumerate(_HEIGHTS)])).alias("h")
+    own = lambda c: F.col(c) * len(_HEIGHTS) + F.col("h.k")
+    # the tree ties together at every height what all pairs do; each height has nodes of its own
+    parts = constraints.components(edges.select("u", "v", "w", heights).where("w <= h.height").select(own("u").alias("a"), own("v").alias("b")))
+    every = points.select("idx", heights).select(F.col("h.height").alias("height"), own("idx").alias("node"))
+    sizes = every.join(parts, "node", "left").groupBy("height", F.coalesce("component", "node").alias("c")).agg(F.count("*").alias("n"))
+    return sizes.groupBy("height").agg(F.count("*").alias("n_parts"), F.max("n").alias("largest"))
+
+
+@query(f"""WITH RECURSIVE v AS MATERIALIZED (SELECT idx, embedding::DOUBLE[] AS e FROM ({V}) v), s AS (SELECT a.idx AS i, b.idx AS j, round(list_cosine_similarity(a.e, b.e), 12) AS sim FROM v a JOIN v b ON a.idx <> b.idx),
+k AS MATERIALIZED (SELECT i, j, greatest(1 - sim, 0) AS d FROM s QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) <= 14), l AS MATERIALIZED (SELECT i, list(d - m) AS rest FROM (SELECT i, d, min(d) OVER (PARTITION BY i) AS m FROM k) GROUP BY i),
+b AS (SELECT i, rest, 0::DOUBLE AS low, 16::DOUBLE AS high, 0 AS n FROM l UNION ALL SELECT i, rest, CASE WHEN over THEN low ELSE mid END, CASE WHEN over THEN mid ELSE high END, n + 1 FROM (SELECT *, (low + high) / 2 AS mid, list_sum(list_transform(rest, lambda x: exp(-x * 2 / (low + high)))) > log2(15) AS over FROM b WHERE n < 60)),
+w AS (SELECT k.i, k.j, exp(-(k.d - min(k.d) OVER (PARTITION BY k.i)) / b.low) AS w FROM k JOIN b ON b.i = k.i AND b.n = 60)
+SELECT least(i, j) AS i, greatest(i, j) AS j, round(sum(w) - CASE WHEN count(*) = 2 THEN product(w) ELSE 0 END, 5) AS weight FROM w GROUP BY 1, 2""")
+def q64b_layout_weights(spark, d):
+    points, _, _ = nearby.distinct_points(view(spark, d, V), "embedding", True, 1)
+    return layout.graph(points, 15).where("i < j").select("i", "j", F.round("w", 5).alias("weight"))
+
+
+@query()
+def q64c_layout(spark, d):
+    return layout.layout(view(spark, d, V), 2, min_dist=0.1).select("idx", "reduced")
+
+
 @query()
 def q66_bimodality(spark, d):
     return refine.bimodality(cluster.pca(view(spark, d, V), 10), "reduced")
