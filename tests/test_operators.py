@@ -91,6 +91,18 @@ def test_bimodal(spark):
     assert got[1]["score"] < got[0]["score"]
 
 
+@pytest.mark.parametrize("limit", [1000, 3])
+def test_components(spark, limit):
+    rng = np.random.default_rng(6)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 150, (110, 2))] + [(i, i + 1) for i in range(200, 260)] + [(300, 300), (401, 400)]
+    least = {x: x for p in pairs for x in p}
+    for _ in range(400):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    got = constraints.components(spark.createDataFrame(pairs, "a long, b long"), limit=limit).collect()
+    assert len(got) == len(least) and {r["node"]: r["component"] for r in got} == least
+
+
 def test_constraints(spark):
     k = spark.createDataFrame([(1, 2, "must-link", 1), (2, 3, "must-link", 2), (3, 1, "cannot-link", 3)], "a long, b long, type string, feedback_id long")
     assert rows(constraints.conflicts(k), "a", "b", "component") == [(1, 3, 1)]
