@@ -451,7 +451,17 @@ def q51_dep_edges_raw(spark, d):
     return dependency.raw_edges(view(spark, d, S), 8, 0.2).select("source", "target", "relation", F.round("weight", 4).alias("weight"))
 
 
-@query()
+#: The greedy pass edge by edge: pairs (x, y) of nodes that the kept edges lead from and to, and the number of edges taken so far under (-1, -1). What leads back is on no cycle in the end.
+_ACYCLIC = f"""WITH RECURSIVE {_EXPL}, {_CAND.replace('SELECT nn.i, nn.j, nn.sim,', 'SELECT nn.i, nn.j, round(nn.sim, 12) AS sim,')}, {_RAW}, o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY weight DESC, phase, i, rank, rule) AS k FROM raw),
+st(x, y, n) USING KEY (x, y) AS (SELECT -1::BIGINT, -1::BIGINT, 0::BIGINT UNION SELECT * FROM (
+ SELECT -1::BIGINT, -1::BIGINT, s.n + 1 FROM st s WHERE s.x = -1 AND s.n < (SELECT count(*) FROM o)
+ UNION ALL SELECT f.x, g.y, 0 FROM st s JOIN o ON s.x = -1 AND o.k = s.n + 1, LATERAL (SELECT o.source AS x UNION SELECT r.x FROM recurring.st r WHERE r.y = o.source AND r.x >= 0) f, LATERAL (SELECT o.target AS y UNION SELECT r.y FROM recurring.st r WHERE r.x = o.target AND r.y >= 0) g
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.st r WHERE r.x = o.target AND r.y = o.source)) z),
+kept AS MATERIALIZED (SELECT source, target, relation FROM o WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.x = o.target AND st.y = o.source)),
+lv AS (SELECT idx, 0 AS level FROM s UNION SELECT kept.target, lv.level + 1 FROM lv JOIN kept ON kept.source = lv.idx), top AS MATERIALIZED (SELECT idx, CAST(max(level) AS INTEGER) AS level FROM lv GROUP BY idx)"""
+
+
+@query(_ACYCLIC + " SELECT idx, level FROM top")
 def q52_dep_acyclic_levels(spark, d):
     return dependency.dependency_tree(view(spark, d, S), 8, 0.2, max_edges=None)[0].select("idx", "level")
 
@@ -461,7 +471,8 @@ def q53_dep_relation_counts(spark, d):
     return dependency.raw_edges(view(spark, d, S), 8, 0.2).groupBy("relation").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_ACYCLIC + """ SELECT (SELECT count(*) FROM top) AS n_nodes, (SELECT max(level) FROM top) AS max_depth, (SELECT count(*) FROM kept) AS n_edges, (SELECT count(*) FROM top WHERE level = 0 AND idx IN (SELECT source FROM kept)) AS root_count,
+ (SELECT '{' || string_agg('"' || relation || '":' || n, ',' ORDER BY relation) || '}' FROM (SELECT relation, count(*) AS n FROM kept GROUP BY relation)) AS relation_counts""")
 def q54_dep_stats(spark, d):
     nodes, edges = dependency.dependency_tree(view(spark, d, S), 8, 0.2, max_edges=None)
     return dependency.dag_stats(nodes.drop("level"), edges).withColumn("relation_counts", F.to_json("relation_counts"))
