@@ -114,6 +114,38 @@ def test_constraints(spark):
     assert got[0] == 0 and got[1] != 0
 
 
+def _one_by_one(rows, pairs):
+    """The cannot-link pairs in turn, with plain sums."""
+    label, prob, v = ({r[0]: r[k] for r in rows} for k in (1, 2, 3))
+    total, count = {}, {}
+    for i in label:
+        if label[i] != -1:
+            total[label[i]] = total.get(label[i], 0) + np.array(v[i])
+            count[label[i]] = count.get(label[i], 0) + 1
+    for a, b, _, _ in sorted(pairs, key=lambda p: (p[3], p[0], p[1])):
+        if a not in label or b not in label or label[a] == -1 or label[a] != label[b]:
+            continue
+        m = a if prob[a] < prob[b] else b
+        near = [(-float(np.dot(v[m], total[c] / np.linalg.norm(total[c]))), c) for c in total if c != label[m] and count[c]]
+        new = min(near)[1] if near else max(total) + 1
+        total[label[m]] = total[label[m]] - np.array(v[m])
+        count[label[m]] -= 1
+        total[new], count[new] = total.get(new, 0) + np.array(v[m]), count.get(new, 0) + 1
+        label[m] = new
+    return label
+
+
+@pytest.mark.parametrize(("seed", "groups", "n"), [(1, 4, 60), (2, 1, 6)])
+def test_cannot_link_like_one_by_one(spark, seed, groups, n):
+    rng = np.random.default_rng(seed)
+    rows = [(i, int(rng.integers(groups)) if i % 11 else (-1 if groups > 1 else 0), float(rng.integers(100)) / 100, rng.normal(size=3).tolist()) for i in range(n)]
+    pairs = [(int(a), int(b), "cannot-link", int(rng.integers(1000))) for a, b in rng.integers(0, n + 2, (n, 2)) if a != b]
+    points = spark.createDataFrame(rows, "idx long, label int, prob double, embedding array<double>")
+    got = {r["idx"]: r["label"] for r in constraints.repair_cannot_link(points, spark.createDataFrame(pairs, "a long, b long, type string, feedback_id long")).collect()}
+    want = _one_by_one(rows, pairs)
+    assert got == want and any(want[r[0]] != r[1] for r in rows)
+
+
 def test_dependency_rules(spark):
     t = spark.createDataFrame([(0, "REQ-001", "Generate a temperature reading", 0, [1.0, 0.0]), (1, "REQ-002", "Use the temperature reading as defined in REQ-001", 0, [1.0, 0.05])], "idx long, req_id string, text string, label int, embedding array<double>")
     nodes, edges = dependency.dependency_tree(t)
