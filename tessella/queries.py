@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions import words as W
 from .functions.text import clean_text, comment_confidence, components, intent, plain_text, strings
-from .lineage import cut
-from .operators import cluster, commands, compare, constraints, density, dependency, ingest, layout, nearby, reads, refine, suggest, terms, vectors
+from .lineage import cut, folder
+from .operators import cluster, commands, compare, constraints, density, dependency, ingest, layout, nearby, reads, refine, session, suggest, terms, vectors
 from .plans import pipeline as plan
+from .snapshots import Snapshots
 from .sources import export, fixtures, providers
 from .tables import cache_misses, text_hash
 
@@ -814,3 +815,76 @@ co AS (SELECT a.label, avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embed
 SELECT label, size, round(coherence, 6) AS coherence, round(spread, 6) AS spread, representatives FROM co JOIN sp USING (label) JOIN rep USING (label)""")
 def q00_cluster_profile(spark, d):
     return cluster_profile(spark, d).select("label", "size", F.round("coherence", 6).alias("coherence"), F.round("spread", 6).alias("spread"), F.array_join(F.transform("representatives", lambda x: x.cast("string")), ",").alias("representatives"))
+
+
+def _stored(spark, d):
+    """The rows of S as a stored, clustered session 1, and their vectors."""
+    store = Snapshots(spark, folder(spark, "store"))
+    rows = cut(view(spark, d, S).withColumns({"id": F.col("idx"), "module": F.lit("m"), "section": F.lit(""), "cluster_id": F.col("label").cast("int"), "membership_prob": F.lit(1.0)}))
+    now = session.create(store, 1, rows.select("id", "req_id", "text", "module", "section", "cluster_id", "membership_prob"))
+    clusters = rows.where("label <> -1").groupBy("cluster_id").agg(F.count("*").alias("size")).withColumns({"id": F.col("cluster_id") + 1, "label": F.concat(F.lit("Group "), F.col("cluster_id").cast("string")), "keywords": F.array().cast("array<string>")})
+    now.commit(clusters=clusters, sessions=now.read("sessions").withColumn("status", F.lit("done")))
+    return store, session.vectors_of(rows)
+
+
+def _suggested(store, **values):
+    """One pending suggestion in the stored session."""
+    now, kinds = store.open(1), {"id": "long", "type": "string", "cluster_a_id": "int", "cluster_b_id": "int", "cluster_id": "int"}
+    row = store.spark.range(1).select(*[F.lit(values.get(c)).cast(t).alias(c) for c, t in kinds.items() if c != "id"], F.lit(1).alias("id"), F.lit("pending").alias("status"))
+    return now.commit(refinement_suggestions=now.append("refinement_suggestions", row))
+
+
+_ONE = f"SELECT idx, req_id, 0 AS label, embedding, text FROM ({S}) z WHERE label IN (0, 1)"
+
+
+@query(_CTF.replace(S, _ONE) + f""", kw AS (SELECT label, list(term ORDER BY rank) AS k FROM r WHERE rank <= 5 GROUP BY label), w AS (SELECT label, array_to_string(k, '|') AS keywords, unnest(string_split(array_to_string(k, ' '), ' ')) AS w, generate_subscripts(string_split(array_to_string(k, ' '), ' '), 1) AS i FROM kw),
+f AS (SELECT label, any_value(keywords) AS keywords, w, min(i) AS i FROM w GROUP BY label, w), q AS (SELECT label, keywords, w, row_number() OVER (PARTITION BY label ORDER BY i) AS n FROM f), named AS (SELECT 0 AS c, string_agg(upper(w[1]) || w[2:], ' ' ORDER BY n) AS name, any_value(keywords) AS keywords FROM q WHERE n <= 4),
+z AS (SELECT CASE WHEN label = 1 THEN 0 ELSE label END AS c, count(*) AS n FROM ({V}) v WHERE label <> -1 GROUP BY 1) SELECT CAST(z.c AS INTEGER) AS cluster_id, CAST(n AS INTEGER) AS size, coalesce(named.name, 'Group ' || z.c) AS label, coalesce(named.keywords, '') AS keywords FROM z LEFT JOIN named ON named.c = z.c""")
+def q94_apply_merge(spark, d):
+    store, _ = _stored(spark, d)
+    _suggested(store, type="merge", cluster_a_id=0, cluster_b_id=1)
+    out = session.decide_suggestion(store, 1, 1, accept=True)
+    return out.read("clusters").select("cluster_id", "size", "label", F.array_join("keywords", "|").alias("keywords"))
+
+
+@query(f"WITH v AS ({V}), t AS (SELECT max(label) + 1 AS new FROM v) SELECT CAST(CASE WHEN label = 2 AND idx % 2 = 1 THEN new ELSE label END AS INTEGER) AS cluster_id, count(*) AS size FROM v, t GROUP BY 1")
+def q95_apply_split(spark, d):
+    store, vectors_ = _stored(spark, d)
+    now = _suggested(store, type="split", cluster_id=2)
+    members = now.read("requirements").where("cluster_id = 2")
+    now.commit(suggestion_sides=members.select(F.lit(1).alias("suggestion_id"), F.col("id").alias("requirement_id"), (F.col("id") % 2).cast("int").alias("side")))
+    out = session.decide_suggestion(store, 1, 1, accept=True)
+    return out.read("requirements").groupBy("cluster_id").agg(F.count("*").alias("size"))
+
+
+_MOVED = f"SELECT idx, embedding, CASE WHEN idx = 3 THEN (SELECT max(label) FROM embeddings) ELSE label END AS label, prob FROM ({V}) z"
+
+
+@query(_CENT.replace(V, _MOVED) + f""", rep AS (SELECT label, idx AS b FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(sim, 12) DESC, idx DESC) AS r FROM sim) WHERE r <= 3), was AS (SELECT label AS old FROM ({V}) v WHERE idx = 3)
+SELECT 3::BIGINT AS a, b, CASE WHEN label = old THEN 'cannot-link' ELSE 'must-link' END AS type FROM rep, was WHERE b <> 3 AND (label = old OR label = (SELECT max(label) FROM embeddings))""")
+def q96_submit_correction(spark, d):
+    store, vectors_ = _stored(spark, d)
+    top = table(spark, d, "embeddings").agg(F.max("label")).first()[0]
+    out = session.submit_correction(store, 1, 3, top, vectors=vectors_)
+    return out.read("constraint_pairs").select(F.col("requirement_a_id").alias("a"), F.col("requirement_b_id").alias("b"), F.col("constraint_type").alias("type"))
+
+
+_KA = f"SELECT k.* FROM ({K}) k JOIN ({C}) c ON c.id = k.feedback_id WHERE c.status <> 'rejected' AND k.type = 'must-link'"
+
+
+@query(_COMP.replace(K, _KA) + f""", v AS ({V}), vote AS (SELECT component, label, count(*) AS n FROM v JOIN comp ON node = idx WHERE label <> -1 GROUP BY ALL), win AS (SELECT component, label FROM vote QUALIFY row_number() OVER (PARTITION BY component ORDER BY n DESC, label) = 1),
+bare AS (SELECT component, row_number() OVER (ORDER BY component) AS k FROM (SELECT DISTINCT component FROM comp WHERE component NOT IN (SELECT component FROM win))), f AS (SELECT idx, v.label AS was, CAST(coalesce(win.label, (SELECT max(label) FROM v) + bare.k, v.label) AS INTEGER) AS label FROM v LEFT JOIN comp ON node = idx LEFT JOIN win USING (component) LEFT JOIN bare ON bare.component = comp.component)
+SELECT 1 AS iteration, CAST(count(DISTINCT label) FILTER (label <> -1) AS INTEGER) AS n_clusters, CAST(count(*) FILTER (label = -1) AS INTEGER) AS noise_count, round(count(*) FILTER (label = -1) / count(*), 4) AS noise_rate, CAST((SELECT count(*) FROM ({_KA}) k) AS INTEGER) AS must_link_pairs, 0 AS cannot_link_pairs, CAST(count(*) FILTER (label <> was) AS INTEGER) AS points_moved FROM f""")
+def q97_recluster_iteration(spark, d):
+    store, vectors_ = _stored(spark, d)
+    now = store.open(1)
+    pairs = view(spark, d, K).where("type = 'must-link'").select(F.col("a").alias("requirement_a_id"), F.col("b").alias("requirement_b_id"), F.col("type").alias("constraint_type"), "feedback_id")
+    now.commit(constraint_pairs=now.append("constraint_pairs", pairs.withColumn("id", F.col("feedback_id"))), feedback_corrections=now.append("feedback_corrections", view(spark, d, C)))
+    return session.quality_history(session.recluster(store, 1, vectors_)).select("iteration", "n_clusters", "noise_count", "noise_rate", "must_link_pairs", "cannot_link_pairs", "points_moved")
+
+
+@query(_ACYCLIC + " SELECT relation, count(*) AS n FROM kept GROUP BY relation")
+def q98_stored_dependencies(spark, d):
+    store, vectors_ = _stored(spark, d)
+    out = session.store_dependencies(store, 1, 8, 0.2, None, vectors_)
+    return out.read("dependency_edges").groupBy("relation").agg(F.count("*").alias("n"))

@@ -13,6 +13,10 @@ SCHEMAS = {
     "dependency_trees": "id long, session_id long, nodes array<struct<id:int,node_id:string,requirement_text:string,cluster_id:int,level:int>>, edges array<struct<source:int,target:int,relation:string,weight:double>>, stats struct<n_nodes:int,n_edges:int,max_depth:int,root_count:int,relation_counts:map<string,int>>, rationale string, provider string, created_at timestamp_ntz, updated_at timestamp_ntz",
     "enriched_requirements": "id long, session_id long, requirement_db_id long, requirement_id string, requirement_text_hash string, provider string, model string, prompt_version string, embedding_mode_recommended string, expanded_text string, domain_terms array<string>, mentioned_components array<string>, assumptions array<string>, warnings array<string>, functional_intent string, confidence double, quality_report string, status string, error_message string, created_at timestamp_ntz, updated_at timestamp_ntz",
     "refinement_suggestions": "id long, session_id long, type string, status string, cluster_a_id int, cluster_b_id int, cluster_id int, similarity double, silhouette_before double, silhouette_after double, silhouette_delta double, coherence double, rationale string, summary string, labels string, keywords array<string>, sub_labels array<int>, sub_sizes array<int>, created_at timestamp_ntz, updated_at timestamp_ntz",
+    "session_edges": "session_id long, source int, target int, weight double",
+    "dependency_nodes": "session_id long, requirement_id long, node_id string, cluster_id int, level int",
+    "dependency_edges": "session_id long, source_id long, target_id long, relation string, weight double",
+    "suggestion_sides": "session_id long, suggestion_id long, requirement_id long, side int",
     "refinement_audit_log": "id long, session_id long, suggestion_id long, action string, before_state string, after_state string, applied_by string, created_at timestamp_ntz",
     "feedback_corrections": "id long, session_id long, requirement_id long, previous_cluster_id int, new_cluster_id int, confidence_score double, comments string, applied_by string, status string, created_at timestamp_ntz, updated_at timestamp_ntz",
     "clustering_iterations": "id long, session_id long, iteration int, n_clusters int, noise_count int, noise_rate double, silhouette double, must_link_pairs int, cannot_link_pairs int, points_moved int, created_at timestamp_ntz",
