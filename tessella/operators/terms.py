@@ -2,27 +2,146 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import words as W
-from ..functions.text import clamp, cluster_label, domain_terms, label_tokens, meaning_tokens, ngrams, numbers, quality_tokens, strings, vocabulary_tokens
+from ..functions.text import clamp, cluster_label, domain_terms, label_tokens, meaning_tokens, ngrams, numbers, quality_tokens, strings
+from ..lineage import cut, spread
+
+
+#: Words that one task counts n-grams of at a time.
+_AT_ONCE = 1 << 20
+
+
+def _tokens(text: str | None, normal: bool) -> list[str]:
+    """The words of a text that vocabulary_tokens() finds."""
+    t = text or ""
+    if normal and not t.isascii():
+        t = unicodedata.normalize("NFKC", t)
+    return [w for w in _WORD.findall(t.lower()) if w not in _STOP]
+
+
+_WORD, _STOP = re.compile(W.VOCABULARY_TOKEN), frozenset(W.REQUIREMENT_STOPWORDS)
+
+
+def _numbers(words: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit number of each word, the same in every task."""
+    return pd.util.hash_array(words.astype(object), hash_key=f"{salt:016d}", categorize=False).view(np.int64)
+
+
+def _texts(df: DataFrame, text: str, normal: bool, work, schema: str) -> DataFrame:
+    """work(tokens of all texts, number of tokens of each) for runs of texts."""
+
+    def go(batches):
+        flat, many = [], []
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                own = _tokens(t, normal)
+                flat += own
+                many.append(len(own))
+                if len(flat) >= _AT_ONCE:
+                    yield work(flat, many)
+                    flat, many = [], []
+        if many:
+            yield work(flat, many)
+
+    return spread(df.select(F.col(text).alias("t"))).mapInArrow(go, schema)
+
+
+def numbered_words(df: DataFrame, text: str, normal: bool, salt: int = 0) -> DataFrame:
+    """(word, number) of all words."""
+
+    def work(flat, many):
+        words = pd.unique(np.array(flat, dtype=object))
+        return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "number": pa.array(_numbers(words, salt))})
+
+    return _texts(df, text, normal, work, "word string, number long").distinct()
+
+
+def gram_counts(df: DataFrame, text: str = "text", normal: bool = True, salt: int = 0) -> DataFrame:
+    """(size, a, b, c, term_frequency, document_frequency) of 1- to 3-grams by the numbers of their words, 0 beyond size; the row of size 0 has the number of texts with a word as both frequencies. Runs of texts are counted before anything is shuffled."""
+
+    def work(flat, many):
+        code, names = pd.factorize(np.array(flat, dtype=object))
+        number = np.append(_numbers(names, salt) if len(names) else np.zeros(0, np.int64), 0)
+        doc, wide = np.repeat(np.arange(len(many)), many), len(names) + 1
+        out = [np.array([[0], [0], [0], [0], [n], [n]]) for n in [sum(1 for m in many if m)]]
+        code = code.astype(np.int64) + 1
+        for size in (1, 2, 3):
+            n = max(0, len(code) - size + 1)
+            use = np.flatnonzero(doc[:n] == doc[size - 1 : size - 1 + n])
+            parts = [code[k : k + n][use] for k in range(size)]
+            if wide**size < 1 << 62:
+                key = parts[0].copy()
+                for p in parts[1:]:
+                    key = key * wide + p
+                grams, at = np.unique(key, return_inverse=True)
+                columns = [grams // wide ** (size - 1 - k) % wide for k in range(size)]
+            else:
+                grams, at = np.unique(np.stack(parts, axis=1), axis=0, return_inverse=True)
+                columns = list(grams.T)
+            pair = np.unique(at.ravel() * len(many) + doc[use])
+            tf, df_ = np.bincount(at.ravel(), minlength=len(grams)), np.bincount(pair // len(many), minlength=len(grams))
+            columns = [number[c - 1] for c in columns] + [np.zeros(len(grams), np.int64)] * (3 - size)
+            out.append(np.stack([np.full(len(grams), size), *columns, tf, df_]))
+        size, a, b, c, tf, df_ = np.concatenate(out, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(size.astype(np.int32)), *[pa.array(x) for x in (a, b, c, tf, df_)]], ["size", "a", "b", "c", "tf", "df"])
+
+    each = _texts(df, text, normal, work, "size int, a long, b long, c long, tf long, df long")
+    # counted by run already: rows go straight to where they are summed
+    return each.repartition("size", "a", "b", "c").groupBy("size", "a", "b", "c").agg(F.sum("tf").alias("term_frequency"), F.sum("df").alias("document_frequency"))
+
+
+def _dictionary(df: DataFrame, text: str, normal: bool) -> tuple[DataFrame, int]:
+    """All words with their numbers, and the salt under which no two words share one."""
+    for salt in range(100):
+        words = cut(numbered_words(df, text, normal, salt))
+        n, distinct = words.agg(F.count("*"), F.count_distinct("number")).first()
+        if n == distinct:
+            return words, salt
+    raise RuntimeError("no numbering tells all words apart")
+
+
+def _named(counts: DataFrame, words: DataFrame) -> DataFrame:
+    """counts with term: the words in place of their numbers."""
+    for c in "abc":
+        own = words.select(F.col("number").alias(c), F.col("word").alias(f"w{c}"))
+        counts = counts.join(own, c, "inner" if c == "a" else "left")
+    # numbers beyond size are 0, which may be a word's number too
+    term = F.when(F.col("size") == 1, F.col("wa")).when(F.col("size") == 2, F.concat_ws(" ", "wa", "wb")).otherwise(F.concat_ws(" ", "wa", "wb", "wc"))
+    return counts.withColumn("term", term)
 
 
 def ngram_counts(df: DataFrame, text: str = "text", normal: bool = True) -> DataFrame:
-    """(term, ngram_size, term_frequency, document_frequency) of 1- to 3-grams. Each text's terms are sorted, so that its first use of a term can be told apart and one grouping with partial sums counts both."""
-    tokens = df.select(vocabulary_tokens(text, normal).alias("t")).where(F.size("t") > 0)
-    sorted_ = tokens.select(F.sort_array(F.concat(*[ngrams("t", n) for n in (1, 2, 3)])).alias("g"))
-    each = sorted_.select(F.explode(F.transform("g", lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get("g", i - 1) == x), 0).otherwise(1).alias("first")))).alias("x"))
-    counted = each.groupBy("x.term").agg(F.count("*").alias("term_frequency"), F.sum("x.first").alias("document_frequency"))
-    return counted.select("term", F.size(F.split("term", " ")).alias("ngram_size"), "term_frequency", "document_frequency")
+    """(term, ngram_size, term_frequency, document_frequency) of 1- to 3-grams."""
+    words, salt = _dictionary(df, text, normal)
+    return _named(gram_counts(df, text, normal, salt).where("size > 0"), words).select("term", F.col("size").alias("ngram_size"), "term_frequency", "document_frequency")
 
 
 def vocabulary(df: DataFrame, text: str = "text", top_n: int = 50, normal: bool = True) -> DataFrame:
-    """The top_n (500 at most) terms by (1 + ln tf)(1 + ln((N + 1) / (df + 1)))."""
-    n = df.select(F.count_if(F.size(vocabulary_tokens(text, normal)) > 0).alias("n_docs"))
-    scored = ngram_counts(df, text, normal).join(F.broadcast(n)).withColumn("score", F.round((1 + F.log("term_frequency")) * (1 + F.log((F.col("n_docs") + 1.0) / (F.col("document_frequency") + 1.0))), 6))
-    return scored.drop("n_docs").orderBy(F.desc("score"), F.desc("document_frequency"), F.desc("term_frequency"), "term").limit(min(max(top_n, 0), 500))
+    """The top_n (500 at most) terms by (1 + ln tf)(1 + ln((N + 1) / (df + 1))).
+
+    N-grams are counted by the numbers of their words; only those that can
+    be among the top, ties at its end included, get their words back.
+    """
+    top_n = min(max(top_n, 0), 500)
+    words, salt = _dictionary(df, text, normal)
+    counts = cut(gram_counts(df, text, normal, salt))
+    n = counts.where("size = 0").agg(F.coalesce(F.sum("document_frequency"), F.lit(0))).first()[0]
+    scored = counts.where("size > 0").withColumn("score", F.round((1 + F.log("term_frequency")) * (1 + F.log(F.lit(n + 1.0) / (F.col("document_frequency") + 1.0))), 6))
+    order = [F.desc("score"), F.desc("document_frequency"), F.desc("term_frequency")]
+    last = scored.select("score", "document_frequency", "term_frequency").orderBy(*order).limit(top_n).tail(1)
+    if last:
+        rank = F.struct("score", "document_frequency", "term_frequency")
+        scored = scored.where(rank >= F.struct(*[F.lit(v).cast(t) for v, t in zip(last[0], ("double", "long", "long"), strict=True)]))
+    return _named(scored, words).select("term", F.col("size").alias("ngram_size"), "term_frequency", "document_frequency", "score").orderBy(*order, "term").limit(top_n)
 
 
 def _cluster_terms(df: DataFrame) -> DataFrame:

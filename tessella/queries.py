@@ -133,7 +133,7 @@ def q07_vocabulary(spark, d):
 
 @query(_GRAMS + " SELECT ngram_size, count(*) AS n_terms, CAST(sum(term_frequency) AS BIGINT) AS tf, CAST(sum(document_frequency) AS BIGINT) AS df FROM c GROUP BY ngram_size")
 def q08_ngram_counts(spark, d):
-    return terms.ngram_counts(_documents(spark, d), normal=False).groupBy("ngram_size").agg(F.count("*").alias("n_terms"), F.sum("term_frequency").alias("tf"), F.sum("document_frequency").alias("df"))
+    return terms.gram_counts(_documents(spark, d), normal=False).where("size > 0").groupBy(F.col("size").alias("ngram_size")).agg(F.count("*").alias("n_terms"), F.sum("term_frequency").alias("tf"), F.sum("document_frequency").alias("df"))
 
 
 _CTF = f"""WITH s AS ({S}), j AS (SELECT label, string_agg(text, ' ' ORDER BY idx) AS t FROM s WHERE label <> -1 GROUP BY label),

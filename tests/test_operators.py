@@ -205,3 +205,26 @@ def test_stream_ingest(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("ingested"), "text") == [("abcdef",), ("ghijkl",)]
+
+
+def test_vocabulary_by_numbers(spark, monkeypatch):
+    texts = ["The motor shall stop the motor", None, "", "motor stop İ K-9 x2 motor", "stop", "ﬁne Ångström-units and motor stop", "a b c the"] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = {}
+    for t in texts:
+        w = terms._tokens(t, True)
+        for n in (1, 2, 3):
+            own = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
+            for g in own:
+                want.setdefault(g, [n, 0, 0])[1] += 1
+            for g in set(own):
+                want[g][2] += 1
+    got = {r["term"]: [r["ngram_size"], r["term_frequency"], r["document_frequency"]] for r in terms.ngram_counts(df).collect()}
+    assert got == want
+    docs = sum(bool(terms._tokens(t, True)) for t in texts)
+    score = {g: round((1 + np.log(tf)) * (1 + np.log((docs + 1) / (d + 1))), 6) for g, (_, tf, d) in want.items()}
+    order = sorted(want, key=lambda g: (-score[g], -want[g][2], -want[g][1], g))
+    for n in (3, 7, 400):  # ties at the end go by the alphabet
+        assert [r["term"] for r in terms.vocabulary(df, top_n=n).collect()] == order[:n]
+    assert terms.vocabulary(df.where("text = ''")).count() == 0
+    assert terms._tokens("x-ray RAY-2 ünï", False) == ["x-ray", "ray-2"] or terms._tokens("x-ray", False) == ["x-ray"]
