@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import plain_text
 from ..functions.words import CONFLICT_MESSAGE
-from ..tables import text_hash
 from .ingest import number_rows
 
 
@@ -122,9 +121,14 @@ def _json_ok(column: Column, kind: str) -> Column:
     return column.isNull() | found.isNotNull()
 
 
+def plain_hash(text: str = "text") -> Column:
+    """The hash under which a requirement's expansion is stored: of its plain text, 12,000 characters at most."""
+    return F.sha2(plain_text(text, 12_000), 256)
+
+
 def valid_enrichments(rows: DataFrame, requirements: DataFrame, prompt_version: str, provider: str | None = None, model: str | None = None, lists: tuple[str, ...] = (), objects: tuple[str, ...] = ()) -> DataFrame:
     """Rows that can serve again: succeeded, for the requirement's present text and this prompt, with a text that is not blank, the columns named lists and objects null or such JSON; of one provider and model if given."""
-    now = requirements.select(F.col("id").alias("requirement_db_id"), text_hash("text").alias("__h"))
+    now = requirements.select(F.col("id").alias("requirement_db_id"), plain_hash("text").alias("__h"))
     ok = (F.col("status") == "succeeded") & (F.col("prompt_version") == prompt_version) & (F.col("requirement_text_hash") == F.col("__h")) & (plain_text("expanded_text") != "")
     for name, value in (("provider", provider), ("model", model)):
         if value is not None:

@@ -9,11 +9,13 @@ from ..functions.text import comment_confidence
 from ..lineage import cut
 from ..plans.pipeline import Settings, run
 from ..snapshots import Snapshot, Snapshots
+from ..sources.providers import enrich_missing
+from ..tables import ENRICHMENT_KEY
 from . import commands, constraints, dependency, suggest
 from .cluster import embed_hash
 from .ingest import number_rows
 from .reads import load_session
-from .terms import label_clusters
+from .terms import expansion_quality, label_clusters
 from .vectors import cluster_quality, representatives, silhouette
 
 
@@ -80,6 +82,24 @@ def cluster_session(store: Snapshots, session_id: int, settings: Settings = Sett
         raise
 
 
+def enrich_session(store: Snapshots, session_id: int, provider, prompt_version: str, force: bool = False, mode: str = "hybrid", **asking) -> Snapshot:
+    """Expand a session's texts: results that still hold stay, the others are asked for (all of them, if force) and stored with their quality, failures included."""
+    now = store.open(session_id)
+    load_session(now.read("sessions"), session_id)
+    rows = now.read("requirements").select("id", "text", "req_id")
+    old = now.read("enriched_requirements")
+    _, made = enrich_missing(rows, old, provider, prompt_version, force, **asking)
+    named = made.join(rows.select(F.col("id").alias("requirement_db_id"), F.col("req_id").alias("requirement_id"), F.col("text").alias("__text")), "requirement_db_id")
+    judged = expansion_quality(named.withColumn("warnings_", F.col("warnings")).drop("warnings"), "__text", "expanded_text")
+    report = F.to_json(F.struct("status", "length_ratio", "lexical_overlap", "domain_term_coverage", "missing_tokens", "invented_numbers", "changed_obligation", "risk", "adjusted_confidence", "warnings"))
+    judged = judged.withColumn("quality_report", report).withColumn("warnings", F.when(F.col("status") == "failed", F.array("error_message")).otherwise(F.col("warnings_")))
+    fresh = number_rows(judged, "requirement_db_id", "id").withColumns({"id": F.col("id") + 1, "embedding_mode_recommended": F.lit(mode), "created_at": _now(), "updated_at": _now()})
+    kept = old.join(fresh.select(*ENRICHMENT_KEY[1:]), ENRICHMENT_KEY[1:], "left_anti").select("id")
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    all_rows = now.append("enriched_requirements", fresh)
+    return now.commit(enriched_requirements=all_rows.join(kept.withColumn("__old", F.lit(True)), "id", "left").where((F.col("id") > top) | F.col("__old")).drop("__old"))
+
+
 def store_suggestions(store: Snapshots, session_id: int, vectors: DataFrame | None = None, embed=embed_hash, **settings) -> Snapshot:
     """Generate suggestions; pending ones from before go, decided ones stay. Which side of a split a row would be on is stored by row."""
     now = store.open(session_id)
@@ -230,4 +250,4 @@ def vectors_of(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("idx").alias("id"), "embedding")
 
 
-__all__ = ["cluster_session", "create", "decide_suggestion", "quality_history", "recluster", "state_at", "store_dependencies", "store_suggestions", "submit_correction", "vectors_of"]
+__all__ = ["cluster_session", "create", "decide_suggestion", "enrich_session", "quality_history", "recluster", "state_at", "store_dependencies", "store_suggestions", "submit_correction", "vectors_of"]

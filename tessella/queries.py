@@ -727,13 +727,16 @@ _EV = f"""SELECT idx AS requirement_db_id, original AS text, CASE WHEN idx % 7 =
 _HOLDS = "hashed = text AND status = 'succeeded' AND prompt_version = 'v1' AND trim(expanded_text) <> ''"
 
 
-def _stored(spark, d):
+def _expansions(spark, d):
     return view(spark, d, _EV).withColumn("requirement_text_hash", F.sha2("hashed", 256))
 
 
-@query(f"SELECT requirement_db_id FROM ({_EV}) e WHERE {_HOLDS} AND (terms IS NULL OR (json_valid(terms) AND json_type(terms) = 'ARRAY')) AND (report IS NULL OR (json_valid(report) AND json_type(report) = 'OBJECT'))")
+_WHOLE = f"{_HOLDS} AND (terms IS NULL OR (json_valid(terms) AND json_type(terms) = 'ARRAY')) AND (report IS NULL OR (json_valid(report) AND json_type(report) = 'OBJECT'))"
+
+
+@query(f"SELECT requirement_db_id FROM ({_EV}) e WHERE {_WHOLE}")
 def q84_valid_enrichments(spark, d):
-    rows = _stored(spark, d)
+    rows = _expansions(spark, d)
     return reads.valid_enrichments(rows.drop("text"), rows.select(F.col("requirement_db_id").alias("id"), "text"), "v1", "echo", "m", ("terms",), ("report",)).select("requirement_db_id")
 
 
@@ -743,15 +746,15 @@ class _Echo:
     name, model = "echo", "m"
 
     def complete(self, prompt: str) -> str:
-        if "link budget" in prompt:
+        if "link budget" in prompt.rsplit("Requirement: ", 1)[1]:
             raise TimeoutError("no answer")
         return '{"expanded_text": "said", "domain_terms": [], "functional_intent": "", "mentioned_components": [], "assumptions": [], "confidence": 2, "warnings": []}'
 
 
-@query(f"SELECT requirement_db_id, CASE WHEN {_HOLDS} THEN 'reused' WHEN contains(text, 'link budget') THEN 'failed' ELSE 'succeeded' END AS status FROM ({_EV}) e")
+@query(f"SELECT requirement_db_id, CASE WHEN {_WHOLE} THEN 'reused' WHEN contains(text, 'link budget') THEN 'failed' ELSE 'succeeded' END AS status FROM ({_EV}) e")
 def q85_enrich_missing(spark, d):
-    rows = _stored(spark, d)
-    reused, made = providers.enrich_missing(rows.select(F.col("requirement_db_id").alias("id"), "text"), rows.drop("text"), _Echo(), "v1")
+    rows = _expansions(spark, d)
+    reused, made = providers.enrich_missing(rows.select(F.col("requirement_db_id").alias("id"), "text"), rows.drop("text"), _Echo(), "v1", lists=("terms",), objects=("report",))
     return reused.select("requirement_db_id", F.lit("reused").alias("status")).unionByName(made.select("requirement_db_id", "status"))
 
 

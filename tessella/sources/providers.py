@@ -6,15 +6,19 @@ import json
 import time
 import urllib.error
 import urllib.request
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import components, dedupe_fold, domain_terms, intent, ngrams, plain_text, strings, vocabulary_tokens
+from ..lineage import cut, folder
 
+#: Characters of a requirement that a prompt holds.
+MAX_TEXT = 12_000
 MAX_REPLY = 64_000
 _REPLY = "expanded_text string, domain_terms array<string>, functional_intent string, mentioned_components array<string>, assumptions array<string>, confidence double, warnings array<string>"
 
@@ -82,40 +86,111 @@ def mock_expand(df: DataFrame, text: str = "text", vocabulary: list[str] | None
     return t.withColumn("expanded_text", F.when(F.col("__t") != "", F.array_join(parts, " "))).withColumn("confidence", F.lit(0.85)).drop("__t", "__local")
 
 
-def enrich(df: DataFrame, provider: Provider, text: str = "text") -> DataFrame:
-    """df with reply fields from a provider; a failed call or an unusable reply is status 'failed' with its message, never an exception."""
-    asked = df.withColumn("__p", prompt(plain_text(text), local_terms(F.col(text))))
-
-    names = asked.columns
+class RequestLog:
+    """Replies by the hash of their request, a file each, in a folder that all executors share. A reply is there whole or not at all; errors are kept for one run only."""
+
+    def __init__(self, root: str, run: str):
+        self.root, self.run = root, run
+
+    def _at(self, name: str):
+        from pyarrow import fs
+
+        if "://" in self.root or self.root.startswith("file:"):
+            system, path = fs.FileSystem.from_uri(self.root.replace("file:/", "file:///") if self.root.startswith("file:/") and not self.root.startswith("file:///") else self.root)
+        else:
+            system, path = fs.LocalFileSystem(), self.root
+        return system, f"{path}/{name}"
+
+    def _exists(self, name: str) -> bool:
+        from pyarrow import fs
+
+        system, path = self._at(name)
+        return system.get_file_info(path).type == fs.FileType.File
+
+    def _write(self, name: str, text: str) -> None:
+        system, path = self._at(name)
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        aside = f"{path}.{uuid.uuid4().hex}"
+        with system.open_output_stream(aside) as out:
+            out.write(text.encode())
+        system.move(aside, path)
+
+    def _read(self, name: str) -> str | None:
+        system, path = self._at(name)
+        if not self._exists(name):
+            return None
+        with system.open_input_stream(path) as f:
+            return f.read().decode()
+
+    def ask(self, key: str, question: str, provider: Provider, fail_fast: bool) -> tuple[str | None, str | None]:
+        """The reply and the error to a request; the provider is asked only if neither is known, and not after a failure that stops the run."""
+        name = f"{key[:2]}/{key}"
+        reply, error = self._read(name), self._read(f"{name}.{self.run}")
+        if reply is not None or error is not None:
+            return reply, error
+        if fail_fast and self._exists(f"_stopped.{self.run}"):
+            return None, STOPPED
+        try:
+            reply = provider.complete(question)
+        except Exception as e:  # noqa: BLE001 a failed request is a record
+            error = f"{type(e).__name__}: {e}"[:500]
+            self._write(f"{name}.{self.run}", error)
+            if fail_fast:
+                self._write(f"_stopped.{self.run}", error)
+            return None, error
+        self._write(name, reply)
+        return reply, None
+
+
+#: The error of requests that were not sent because another one had failed.
+STOPPED = "stopped after a failed request"
+
+
+def enrich(df: DataFrame, provider: Provider, text: str = "text", vocabulary: list[str] | None = None, log: str | None = None, concurrency: int = 4, fail_fast: bool = False) -> DataFrame:
+    """df with reply fields from a provider, written once; a failed call or an unusable reply is status 'failed' with its message.
+
+    Equal requests are one. Replies go to a log (a folder that all executors share) as they come, which a task reads
+    before it asks, so that neither a second action nor a task that runs
+    again asks twice; a log from an earlier run serves too. A task has up to concurrency (1 to 16) requests under way.
+    With fail_fast the first failure keeps all tasks from asking further,
+    and raises when they have ended. Texts that are blank are not asked.
+    """
+    spark = df.sparkSession
+    kept = RequestLog(log or folder(spark, "requests"), uuid.uuid4().hex)
+    key = F.sha2(F.concat_ws("\n", F.lit(provider.name), F.lit(provider.model), "__p"), 256)
+    plain = F.col("__t")
+    asked = df.withColumn("__t", plain_text(text, MAX_TEXT)).withColumn("__p", F.when(plain != "", prompt(plain, strings(vocabulary) if vocabulary is not None else local_terms(plain)))).withColumn("__k", F.when(F.col("__p").isNotNull(), key))
+    asked = cut(asked)
 
     def call(batches):
-        for b in batches:
-            replies, errors = [], []
-            for p in b.column(names.index("__p")).to_pylist():
-                reply = error = None
-                try:
-                    reply = provider.complete(p)
-                except Exception as e:  # noqa: BLE001 a failed row is a record
-                    error = f"{type(e).__name__}: {e}"[:500]
-                replies.append(reply)
-                errors.append(error)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], [*names, "__reply", "__error"])
-
-    more = [StructField("__reply", StringType()), StructField("__error", StringType())]
-    got = asked.mapInArrow(call, StructType([*asked.schema.fields, *more])).withColumn("__x", parse_reply(F.col("__reply")))
+        with ThreadPoolExecutor(min(max(concurrency, 1), 16)) as pool:
+            for b in batches:
+                both = list(pool.map(lambda kp: kept.ask(*kp, provider, fail_fast), zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r for r, _ in both], pa.string()), pa.array([e for _, e in both], pa.string())], ["__k", "__reply", "__error"])
+
+    answers = cut(asked.where("__k IS NOT NULL").groupBy("__k").agg(F.first("__p").alias("__p")).mapInArrow(call, "__k string, __reply string, __error string"))
+    if fail_fast and (bad := answers.where(F.col("__error").isNotNull() & (F.col("__error") != STOPPED)).select("__error").first()):
+        raise RuntimeError(bad["__error"])
+    got = asked.join(answers, "__k", "left").withColumn("__x", parse_reply(F.col("__reply")))
     status = F.when(F.col("__x").isNotNull(), "succeeded").otherwise("failed")
-    return got.select(*df.columns, "__x.*", status.alias("status"), F.when(status == "failed", F.coalesce("__error", F.lit("reply could not be used"))).alias("error_message"))
+    message = F.when(F.col("__k").isNull(), "Requirement text is empty.").otherwise(F.coalesce("__error", F.lit("reply could not be used")))
+    return got.select(*df.columns, "__x.*", status.alias("status"), F.when(status == "failed", message).alias("error_message"))
 
 
-def enrich_missing(requirements: DataFrame, stored: DataFrame, provider: Provider, prompt_version: str) -> tuple[DataFrame, DataFrame]:
-    """(reused, made): stored results that still hold for requirements(id, text), and new rows for the others alone, keyed as stored ones are.
+def enrich_missing(requirements: DataFrame, stored: DataFrame, provider: Provider, prompt_version: str, force: bool = False, lists: tuple[str, ...] = (), objects: tuple[str, ...] = ("quality_report",), **asking) -> tuple[DataFrame, DataFrame]:
+    """(reused, made): stored results that still hold for requirements(id, text), and new rows for the others alone (for all, if force), keyed as stored ones are.
 
-    Requests run as many at a time as Spark has tasks for the rows; one that fails is a row with its error.
+    A stored row holds for the plain text's hash, this provider and prompt,
+    with well-formed JSON in the columns named. Prompts have the vocabulary
+    of all the requirements, 50 terms. New rows are written once.
     """
-    from ..operators.reads import valid_enrichments
+    from ..operators.reads import plain_hash, valid_enrichments
+    from ..operators.terms import vocabulary
 
-    reused = valid_enrichments(stored, requirements, prompt_version, provider.name, provider.model)
+    reused = valid_enrichments(stored, requirements, prompt_version, provider.name, provider.model, lists, tuple(c for c in objects if c in stored.columns))
+    reused = reused.where("false") if force else reused
     missing = requirements.join(reused.select(F.col("requirement_db_id").alias("id")), "id", "left_anti")
-    made = enrich(missing.select("id", "text"), provider)
-    keyed = made.withColumns({"requirement_db_id": F.col("id"), "requirement_text_hash": F.sha2(F.coalesce("text", F.lit("")), 256), "provider": F.lit(provider.name), "model": F.lit(provider.model), "prompt_version": F.lit(prompt_version)})
-    return reused, keyed.drop("id", "text")
+    words = [r["term"] for r in vocabulary(requirements.withColumn("__t", plain_text("text", MAX_TEXT)), "__t", 50).collect()]  # 50 at most
+    made = enrich(missing.select("id", "text"), provider, vocabulary=words, **asking)
+    keyed = made.withColumns({"requirement_db_id": F.col("id"), "requirement_text_hash": plain_hash("text"), "provider": F.lit(provider.name), "model": F.lit(provider.model), "prompt_version": F.lit(prompt_version)})
+    return reused, cut(keyed.drop("id", "text"))
