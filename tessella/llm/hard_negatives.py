@@ -196,7 +196,7 @@ class HardNegatives:
     those cells whose ball their bounds allow, in blocks of about block
     queries, and each task holds one tree and one block.
 
-    sample rows (those of least hash) serve to place the cells and as a
+    About sample rows, taken by hash, serve to place the cells and as a
     first bound on what a query's k-th best score is; a smaller sample makes
     bounds looser and never changes a result.
     """
@@ -210,7 +210,8 @@ class HardNegatives:
         if not n or not self.size:
             self.trees = None
             return
-        picked = self.rows.orderBy(F.xxhash64("row"), "row").limit(sample).collect()
+        every = max(1, n // sample)
+        picked = sorted(self.rows.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).collect(), key=lambda r: r["row"])  # about sample rows, under twice as many
         self.picked = self._matrix([r["q"] for r in picked]), np.array([r["label"] for r in picked]), np.array([r["row"] for r in picked])
         self.cells = Cells.fit(self.picked[0], -(-n // tree_rows))
         self._plant(tree_rows)
@@ -266,7 +267,7 @@ class HardNegatives:
     def search(self, queries: DataFrame, k: int, same: bool) -> DataFrame:
         """(query, score, vec_id, row, rank): the k best rows for each of queries(query, label, row, q, low, high), rows of the same label or of others; row is the query's own. Ties go to the smaller vec_id, null last."""
         cells, size = self.cells, self.size
-        shared = self.spark.sparkContext.broadcast(self.picked)  # at most sample rows
+        shared = self.spark.sparkContext.broadcast(self.picked)  # about sample rows, under twice as many
         names = ["query", "label", "row", "q", "low", "high"]
 
         def looked(b) -> Queries:
