@@ -11,7 +11,7 @@ from ..plans.pipeline import Settings, run
 from ..snapshots import Snapshot, Snapshots
 from ..sources.providers import enrich_missing
 from ..tables import ENRICHMENT_KEY
-from . import commands, constraints, dependency, suggest
+from . import commands, constraints, dependency, refine, suggest
 from .cluster import embed_hash
 from .ingest import number_rows
 from .reads import load_session
@@ -112,7 +112,8 @@ def store_suggestions(store: Snapshots, session_id: int, vectors: DataFrame | No
     fresh = F.col("id") > top
     kept = kept.where(fresh | (F.col("status") != "pending"))
     split = found.where("type = 'split'").select((F.col("id") + top).alias("suggestion_id"), "cluster_id")
-    sides = suggest.split_sides(points, **{k: v for k, v in settings.items() if k in ("vector", "min_spread", "top_n")}).join(split, "cluster_id").select("suggestion_id", F.col("idx").alias("requirement_id"), "side")
+    halves = refine.split_sides(points, **{k: v for k, v in settings.items() if k in ("vector", "min_spread")})
+    sides = halves.join(split, F.col("label") == F.col("cluster_id")).select("suggestion_id", F.col("idx").alias("requirement_id"), "side")
     old = now.read("suggestion_sides").join(pending.withColumnRenamed("id", "suggestion_id"), "suggestion_id", "left_anti")
     return now.commit(refinement_suggestions=kept, suggestion_sides=old.select("suggestion_id", "requirement_id", "side").unionByName(sides))
 

@@ -127,14 +127,6 @@ def silhouette(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return silhouette_samples(distance_sums(df.where("label <> -1"), vector)).agg(F.avg("s").alias("silhouette"))
 
 
-def relabelled(sums: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Distance sums after clusters were merged: mapping(old, new) names every changed label."""
-    m = F.broadcast(mapping)
-    one = sums.join(m.select(F.col("old").alias("label"), F.col("new").alias("__l")), "label", "left")
-    two = one.join(m.select(F.col("old").alias("other"), F.col("new").alias("__o")), "other", "left")
-    return two.select("idx", F.coalesce("__l", "label").alias("label"), F.coalesce("__o", "other").alias("other"), "total", "n").groupBy("idx", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-
-
 def centroid_pairs(df: DataFrame) -> DataFrame:
     """(a, b, sim) of every two clusters, a < b; as many rows as clusters squared, which are few."""
     c = centroids(df)

@@ -499,14 +499,51 @@ def q56_export_bundle(spark, d):
     return out.select(F.size("x.items").cast("long").alias("items"), F.size("x.relationships").cast("long").alias("relationships"))
 
 
-@query()
+_ESC = "replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+def _esc(c: str) -> str:
+    return _ESC.replace("{c}", c)
+
+
+_VALUE = """'<ATTRIBUTE-VALUE-STRING THE-VALUE="' || {v} || '"><DEFINITION><ATTRIBUTE-DEFINITION-STRING-REF>{n}</ATTRIBUTE-DEFINITION-STRING-REF></DEFINITION></ATTRIBUTE-VALUE-STRING>'"""
+_SPEC = """'<SPEC-OBJECT IDENTIFIER="' || {i} || '"><VALUES>' || {v} || '</VALUES><TYPE><SPEC-OBJECT-TYPE-REF>{t}</SPEC-OBJECT-TYPE-REF></TYPE></SPEC-OBJECT>'"""
+_NODE = """'<SPEC-HIERARCHY IDENTIFIER="SH-' || {i} || '"><OBJECT><SPEC-OBJECT-REF>' || {i} || '</SPEC-OBJECT-REF></OBJECT>{e}'"""
+
+
+def _put(template: str, **values: str) -> str:
+    for k, v in values.items():
+        template = template.replace("{" + k + "}", v)
+    return template
+
+
+_CLID, _RQID = "'CL-' || c.cluster_id", "'RQ-' || r.id"
+_ONE_SPEC = _put(_SPEC, i=_CLID, v=_put(_VALUE, v=_esc("c.label"), n="attr-name"), t="type-heading")
+_TWO_SPEC = _put(_SPEC, i=_RQID, v=_put(_VALUE, v=_esc("r.req_id"), n="attr-id") + " || " + _put(_VALUE, v=_esc("r.text"), n="attr-text"), t="type-requirement")
+
+
+#: The lines between a document's head and tail.
+@query(f"""WITH r AS ({_RQ}), c AS ({_CL}), f AS (SELECT 1 AS o, 0 AS k, 0 AS j, c.cluster_id AS i, {_ONE_SPEC} AS x FROM c UNION ALL SELECT 1, 1, 0, r.id, {_TWO_SPEC} FROM r
+ UNION ALL SELECT 2, 0, 0, 0, '</SPEC-OBJECTS><SPECIFICATIONS><SPECIFICATION IDENTIFIER="SPEC-1"><CHILDREN>' UNION ALL SELECT 3, c.cluster_id, 0, 0, {_put(_NODE, i=_CLID, e='<CHILDREN>')} FROM c
+ UNION ALL SELECT 3, r.cluster_id, 1, r.id, {_put(_NODE, i=_RQID, e='</SPEC-HIERARCHY>')} FROM r WHERE r.cluster_id IN (SELECT cluster_id FROM c) UNION ALL SELECT 3, c.cluster_id, 2, 0, '</CHILDREN></SPEC-HIERARCHY>' FROM c
+ UNION ALL SELECT CASE WHEN r.cluster_id IS NULL THEN 5 ELSE 4 END, 0, 0, r.id, {_put(_NODE, i=_RQID, e='</SPEC-HIERARCHY>')} FROM r WHERE r.cluster_id IS NULL OR r.cluster_id < 0)
+SELECT 1 + row_number() OVER (ORDER BY o, k, j, i) AS n, x FROM f""")
 def q57_export_reqif(spark, d):
-    return export.reqif("s", view(spark, d, _RQ), view(spark, d, _CL), "2000-01-01T00:00:00Z")
+    lines = export.fragments_in_order(export.reqif_fragments("s", view(spark, d, _RQ), view(spark, d, _CL), "2000-01-01T00:00:00Z"))
+    return lines.where("x NOT LIKE '<?xml%' AND x NOT LIKE '%</REQ-IF>'")
 
 
-@query()
+_KEYWORD = "CASE relation " + " ".join(f"WHEN '{r}' THEN '{k}'" for r, k in W.RELATION_KEYWORDS.items()) + " ELSE 'trace' END"
+
+
+@query(f"""WITH {_EXPL}, r AS (SELECT id, req_id, text, coalesce(cluster_id, -1) AS cluster_id FROM ({_RQ}) z), c AS ({_CL}), p AS (SELECT DISTINCT r.cluster_id, CASE WHEN r.cluster_id = -1 THEN 'Noise' ELSE coalesce(c.label, 'Cluster ' || r.cluster_id) END AS label FROM r LEFT JOIN c ON c.cluster_id = r.cluster_id),
+f AS (SELECT CASE WHEN cluster_id = -1 THEN 2 ELSE 1 END AS o, cluster_id AS k, 0 AS j, 0 AS i, '<packagedElement xmi:type="uml:Package" xmi:id="P' || cluster_id || '" name="' || {_esc('label')} || '">' AS x FROM p UNION ALL SELECT CASE WHEN cluster_id = -1 THEN 2 ELSE 1 END, cluster_id, 2, 0, '</packagedElement>' FROM p
+ UNION ALL SELECT CASE WHEN cluster_id = -1 THEN 2 ELSE 1 END, cluster_id, 1, id, '<packagedElement xmi:type="uml:Class" xmi:id="R' || id || '" name="' || {_esc('req_id')} || '"><ownedComment body="' || {_esc('text')} || '"/></packagedElement>' FROM r
+ UNION ALL SELECT 3, source, 0, target, '<packagedElement xmi:type="uml:Dependency" xmi:id="D' || source || '-' || target || '" name="' || {_KEYWORD} || '" supplier="R' || source || '" client="R' || target || '"/>' FROM ex)
+SELECT 1 + row_number() OVER (ORDER BY o, k, j, i) AS n, x FROM f""")
 def q58_export_xmi(spark, d):
-    return export.xmi("s", view(spark, d, _RQ), view(spark, d, _CL), _edges(spark, d))
+    lines = export.fragments_in_order(export.xmi_fragments("s", view(spark, d, _RQ), view(spark, d, _CL), _edges(spark, d)))
+    return lines.where("x NOT LIKE '<?xml%' AND x NOT LIKE '%</xmi:XMI>'")
 
 
 @query(f"SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'rejected') AS rejected FROM ({C}) c")

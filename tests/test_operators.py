@@ -1,4 +1,5 @@
 import io
+import json
 import zipfile
 from xml.etree import ElementTree
 
@@ -177,6 +178,27 @@ def test_exports_are_well_formed(spark):
     assert [v["cluster_label"] for v in export.csv_rows(r, c).orderBy("text").collect()] == ["Group & co", "Noise", ""]
 
 
+def test_documents_are_written_in_parts(spark, tmp_path):
+    r = spark.range(500).select("id", F.concat(F.lit("R<&>"), F.col("id").cast("string")).alias("req_id"), F.lit('line\none "two"\t').alias("text"), F.lit("m").alias("module"), F.lit("").alias("section"), (F.col("id") % 5 - 1).cast("int").alias("cluster_id"), F.lit(0.5).alias("membership_prob"))
+    c = spark.createDataFrame([(i, f"G {i}", 100) for i in range(4)], "cluster_id int, label string, size int")
+    e = spark.createDataFrame([(i, i + 1, "data", 0.5) for i in range(0, 90, 3)], "source_id long, target_id long, relation string, weight double")
+    export.write_document(export.reqif_fragments("s", r, c, "2000"), str(tmp_path / "a.reqif"))
+    x = ElementTree.parse(tmp_path / "a.reqif").getroot()
+    tag = lambda n: n.tag.rsplit("}", 1)[-1]
+    assert sum(tag(n) == "SPEC-OBJECT" for n in x.iter()) == 504 and sum(tag(n) == "SPEC-HIERARCHY" for n in x.iter()) == 504
+    texts = [n.get("THE-VALUE") for n in x.iter() if tag(n) == "ATTRIBUTE-VALUE-STRING"]
+    assert texts[4:6] == ["R<&>0", 'line\none "two"\t'] and texts[-2] == "R<&>499"
+    export.write_document(export.xmi_fragments("s", r, c, e), str(tmp_path / "b.xmi"))
+    y = ElementTree.parse(tmp_path / "b.xmi").getroot()
+    assert [len(p) for p in y[0] if p.get("{http://www.omg.org/spec/XMI/20131001}type") == "uml:Package"] == [100] * 5 and len(y[0]) == 5 + 30
+    export.write_document(export.bundle_fragments('s "q"', r, c, e), str(tmp_path / "c.json"))
+    z = json.loads((tmp_path / "c.json").read_text())
+    assert z["meta"] == {"session": 's "q"', "items": 504, "relationships": 30} and [i["id"] for i in z["items"]] == [*range(4), *range(500)] and len(z["relationships"]) == 30
+    none = e.where("false")
+    export.write_document(export.bundle_fragments("s", r.where("false"), c.where("false"), none), str(tmp_path / "d.json"))
+    assert json.loads((tmp_path / "d.json").read_text())["items"] == [] and not list(tmp_path.glob("*.parts"))
+
+
 def test_store_upsert_and_moves(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     row = "id long, session_id long, cluster_id int, label string, keywords array<string>, size int"
@@ -228,3 +250,37 @@ def test_vocabulary_by_numbers(spark, monkeypatch):
         assert [r["term"] for r in terms.vocabulary(df, top_n=n).collect()] == order[:n]
     assert terms.vocabulary(df.where("text = ''")).count() == 0
     assert terms._tokens("x-ray RAY-2 ünï", False) == ["x-ray", "ray-2"] or terms._tokens("x-ray", False) == ["x-ray"]
+
+
+def _mean_silhouette(x, label):
+    out = []
+    for i in range(len(x)):
+        d = np.linalg.norm(x - x[i], axis=1)
+        own = (label == label[i]) & (np.arange(len(x)) != i)
+        if not own.any():
+            out.append(0.0)
+            continue
+        a, b = d[own].mean(), min(d[label == c].mean() for c in set(label) - {label[i]})
+        out.append((b - a) / max(a, b))
+    return np.mean(out)
+
+
+def test_what_if_silhouettes(spark):
+    rng = np.random.default_rng(12)
+    centre = np.array([[0, 0, 0], [2, 0, 0], [2.5, 1, 0], [0, 6, 0], [6, 6, 1]])
+    label = np.array([i % 5 for i in range(90)] + [5])
+    x = np.concatenate([centre[label[:90]] + rng.normal(size=(90, 3)) / 2 + np.where((np.arange(90) % 10 >= 5) & (label[:90] == 3), 3, 0)[:, None] * np.array([0, 0, 1]), [[9, 9, 9]]])
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))] + [(200, [0.0] * 3, -1)], "idx long, embedding array<double>, label int")
+    before = _mean_silhouette(x, label)
+    pairs = [(a, b) for a in range(6) for b in range(a + 1, 6)]
+    got = {(r["a"], r["b"]): r for r in refine.merge_deltas(df, spark.createDataFrame(pairs, "a int, b int")).collect()}
+    for a, b in pairs:
+        assert got[a, b]["before"] == pytest.approx(before, abs=1e-9) and got[a, b]["after"] == pytest.approx(_mean_silhouette(x, np.where(label == b, a, label)), abs=1e-9)
+    two = df.where("label IN (0, 3)")
+    assert refine.merge_deltas(two, spark.createDataFrame([(0, 3)], "a int, b int")).first()["delta"] == 0.0  # one cluster has no silhouette
+    splits = refine.suggest_splits(df, min_spread=0.0).collect()
+    sides = {(r["label"], r["idx"]): r["side"] for r in refine.split_sides(df, min_spread=0.0).collect()}
+    assert splits and [r["rank"] for r in splits] == list(range(1, len(splits) + 1))
+    for r in splits:
+        after = np.array([100 if c == r["label"] and sides[c, i] else c for i, c in enumerate(label.tolist())])
+        assert r["after"] == pytest.approx(_mean_silhouette(x, after), abs=1e-9) and (r["first"], r["second"]) == ((after == r["label"]).sum(), (after == 100).sum())
