@@ -54,7 +54,8 @@ def cluster_session(store: Snapshots, session_id: int, settings: Settings = Sett
     """Cluster a session's texts, or their expansions enriched(id, enriched) by the settings' mode, and store rows, clusters and graph.
 
     While it runs, the session is 'processing' and a second call is refused;
-    a run that fails leaves it in 'error' with its old rows.
+    a run that fails leaves it in 'error' with its old rows. progress (a
+    plans.progress.Progress, say) hears of every step.
     """
     now = store.open(session_id)
     row = load_session(now.read("sessions"), session_id)
@@ -62,6 +63,8 @@ def cluster_session(store: Snapshots, session_id: int, settings: Settings = Sett
         raise ValueError(f"session {session_id} is being clustered")
     if settings.mode != "base" and enriched is None:
         raise ValueError("this mode needs expanded texts")
+    say = progress or (lambda step, share, message: None)
+    say("starting", 0, "starting")
     now = now.commit(sessions=row.withColumn("status", F.lit("processing")))
     try:
         texts = now.read("requirements").select(F.col("id").alias("idx"), "text")
@@ -69,15 +72,19 @@ def cluster_session(store: Snapshots, session_id: int, settings: Settings = Sett
             texts = texts.join(enriched.select(F.col("id").alias("idx"), "enriched"), "idx", "left")
         if vectors is not None:
             texts = texts.join(vectors.select(F.col("id").alias("idx"), "embedding"), "idx")
-        made = run(texts, settings, embed, progress)
+        made = run(texts, settings, embed, lambda step, share, message: None if step == "done" else say(step, share, message))
+        say("store", 95, "storing")
         placed = cut(made["requirements"].select("idx", F.col("label").cast("int").alias("label"), "prob", "x", "y", "is_noise"))
         rows = now.read("requirements").drop("cluster_id", "membership_prob", "umap_x", "umap_y", "is_noise").join(placed.withColumnsRenamed({"idx": "id", "label": "cluster_id", "prob": "membership_prob", "x": "umap_x", "y": "umap_y"}), "id")
         labelled = texts.select("idx", "text").join(placed, "idx")
         totals = cluster_quality(placed).first()
         session = row.withColumns({"status": F.lit("done"), "total_clusters": F.lit(totals["n_clusters"]).cast("int"), "noise_count": F.lit(totals["noise_count"]).cast("int")})
         edges = made["edges"].select(F.col("source").cast("int"), F.col("target").cast("int"), "weight")
-        return now.commit(sessions=session, requirements=rows, clusters=_cluster_rows(labelled), session_edges=edges)
-    except Exception:
+        stored = now.commit(sessions=session, requirements=rows, clusters=_cluster_rows(labelled), session_edges=edges)
+        say("done", 100, "done")
+        return stored
+    except Exception as e:
+        say("error", 0, str(e)[:500])
         now.commit(sessions=row.withColumn("status", F.lit("error")))
         raise
 

@@ -159,3 +159,28 @@ def test_suggestions_and_dependencies_are_stored(spark, store):
     assert deps.read("dependency_nodes").count() == 36
     again = session.store_dependencies(store, 1, threshold=0.3, vectors=v)
     assert rows(again.read("dependency_edges"), "source_id", "target_id") == rows(deps.read("dependency_edges"), "source_id", "target_id")
+
+
+def test_progress_from_another_thread(spark, store):
+    from pyspark import InheritableThread
+
+    from tessella.plans.progress import Progress
+
+    session.create(store, 1, texts(spark))
+    v, seen, progress = vectors(spark), [], Progress(spark, "session 1")
+    thread = InheritableThread(target=lambda: session.cluster_session(store, 1, Settings(min_cluster_size=6, dims=3, threshold=0.9), v, progress=progress))
+    thread.start()
+    while thread.is_alive():
+        seen.append(progress.read())
+        thread.join(0.1)
+    seen.append(progress.read())
+    shares = [s["progress"] for s in seen]
+    assert shares == sorted(shares) and seen[-1]["step"] == "done" and shares[-1] == 100
+    steps = list(dict.fromkeys(s["step"] for s in seen))
+    order = ["starting", "embed", "reduce", "cluster", "label", "graph", "store", "done"]
+    assert steps == [s for s in order if s in steps] and len(steps) >= 4
+    assert any(s["tasks"] for s in seen) and len(set(shares)) > len(steps)  # tasks fill the way between steps
+    failed = Progress(spark)
+    with pytest.raises(RuntimeError):
+        session.cluster_session(store, 1, embed=lambda *_: (_ for _ in ()).throw(RuntimeError("no vectors")), progress=failed)
+    assert failed.read() | {"tasks": 0, "tasks_done": 0} == {"step": "error", "progress": 0.0, "message": "no vectors", "tasks": 0, "tasks_done": 0}
