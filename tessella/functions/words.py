@@ -1,22 +1,30 @@
 """Word lists and patterns of the text rules. All of these are fixed values."""
 
-LABEL_STOPWORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might shall must can need to of "
-    "in on at by for with about against between into through during before after above below from up down out off over under again then once "
-    "here there when where why how all both each few more most other some such no nor not only own same so than too very just but and or "
-    "it its as this that these those which who system provide ensure support include allow enable within without using based per via including "
-    "while also any applicable defined minimum maximum least greater less equal type value number set meet maintain required requirement"
-).split()
-REQUIREMENT_STOPWORDS = (
-    "a an and any are as at be been being by can could do does during each for from had has have how in include includes including into is it its "
-    "may must of on or provide provides requirement requirements required shall should support supports such system that the these this to will with"
-).split()
+LABEL_STOPWORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do",
+    "does", "did", "will", "would", "could", "should", "may", "might", "shall", "must", "can", "need", "to", "of",
+    "in", "on", "at", "by", "for", "with", "about", "against", "between", "into", "through", "during", "before", "after",
+    "above", "below", "from", "up", "down", "out", "off", "over", "under", "again", "then", "once", "here", "there",
+    "when", "where", "why", "how", "all", "both", "each", "few", "more", "most", "other", "some", "such", "no",
+    "nor", "not", "only", "own", "same", "so", "than", "too", "very", "just", "but", "and", "or", "it",
+    "its", "as", "this", "that", "these", "those", "which", "who", "system", "provide", "ensure", "support", "include", "allow",
+    "enable", "within", "without", "using", "based", "per", "via", "including", "while", "also", "any", "applicable", "defined", "minimum",
+    "maximum", "least", "greater", "less", "equal", "type", "value", "number", "set", "meet", "maintain", "required", "requirement",
+]
+REQUIREMENT_STOPWORDS = [
+    "a", "an", "and", "any", "are", "as", "at", "be", "been", "being", "by", "can", "could", "do",
+    "does", "during", "each", "for", "from", "had", "has", "have", "how", "in", "include", "includes", "including", "into",
+    "is", "it", "its", "may", "must", "of", "on", "or", "provide", "provides", "requirement", "requirements", "required", "shall",
+    "should", "support", "supports", "such", "system", "that", "the", "these", "this", "to", "will", "with",
+]
 SEQUENTIAL_CUES = ["after", "once", "upon", "following", "subsequent to", "prior to", "before", "until", "as soon as", "in response to", "when ", "whenever"]
 HIERARCHICAL_CUES = [
     "in accordance with", "as defined in", "as specified in", "subject to", "comply with", "conform to", "according to", "consistent with",
     "as required by", "in compliance with", "as described in",
 ]
-OUTPUT_VERBS = "provide generate produce output compute calculate emit return report transmit send create store record log measure detect raise issue".split()
+OUTPUT_VERBS = [
+    "provide", "generate", "produce", "output", "compute", "calculate", "emit", "return", "report", "transmit", "send", "create", "store", "record", "log", "measure", "detect", "raise", "issue",
+]
 INPUT_VERBS = ["receive", "require", "use", "read", "accept", "consume", "depend", "retrieve", "obtain", "process", "monitor", "respond to", "trigger on", "based on", "derived from"]
 COLUMN_VARIANTS = {
     "id": ["id", "req_id", "requirement_id", "req id", "identifier"],

@@ -13,7 +13,7 @@ from .lineage import cut, folder
 from .operators import cluster, commands, compare, constraints, density, dependency, ingest, layout, nearby, reads, refine, session, suggest, terms, vectors
 from .plans import pipeline as plan
 from .snapshots import Snapshots
-from .sources import export, fixtures, providers
+from .sources import export, providers
 from .tables import cache_misses, text_hash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -688,9 +688,9 @@ def q73_events_by_hour(spark, d):
     return table(spark, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("start")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g'))[:200] AS text FROM conversations")
+@query("SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g'))[:12000] AS text FROM conversations")
 def q74_plain_text(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", plain_text("text", 200).alias("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", plain_text("text", 12_000).alias("text"))
 
 
 @query("SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM conversations")
@@ -833,11 +833,6 @@ def q91_generate_suggestions(spark, d):
     return suggest.generate_suggestions(_in_two(view(spark, d, V)), view(spark, d, _CL), 0.1, vector="embedding", min_spread=0.0)
 
 
-@query("WITH k AS (SELECT unnest(range(200)) AS k) SELECT k AS id, 'REQ-' || lpad(CAST(k AS VARCHAR), 5, '0') AS req_id, " + "replace(replace(replace(" + f"{fixtures.PATTERNS!r}[k % 8 + 1], '{{s}}', {fixtures.SUBSYSTEMS!r}[k // 8 % 8 + 1]), '{{n}}', CAST(k * 7 % 90 + 10 AS VARCHAR)), '{{ref}}', 'REQ-' || lpad(CAST(greatest(k - 1, 0) AS VARCHAR), 5, '0')) AS text, {fixtures.SUBSYSTEMS!r}[k // 8 % 8 + 1] AS module FROM k")
-def q92_fixture(spark, d):
-    return fixtures.requirements(spark, 200)
-
-
 @query(ORACLES["q55_export_csv_rows"])
 def q93_export_dispatch(spark, d):
     return export.export_session(" CSV", 1, "s", view(spark, d, _RQ), view(spark, d, _CL), _edges(spark, d), "2000-01-01T00:00:00Z")[0]

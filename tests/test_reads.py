@@ -48,3 +48,11 @@ def test_wording(spark):
     assert row["s"] == 'Cluster "c" shows a bimodal distribution (bimodality score: 0.500, BIC improvement: 12.0). The two identified sub-groups contain 3 and 4 requirements respectively. The cluster has high internal spread (0.400), supporting the case for splitting. Splitting would create more focused clusters with tighter semantic coherence.'
     assert "spread" not in row["n"] and row["w"] == "t" and row["v"] == "said"
     assert row["k"] == f'Cluster "c" covers requirements related to a, b, c, d, e. Representative requirements include: "{"x" * 120}".' and row["e"] == 'Cluster "c" contains related requirements.'
+
+
+def test_fixture_rows(spark):
+    from tessella.sources import fixtures
+
+    rows = fixtures.requirements(spark, 20).orderBy("id").collect()
+    assert [r["req_id"] for r in rows[:2]] == ["REQ-00000", "REQ-00001"] and len(rows) == 20
+    assert all(r["module"] in fixtures.SUBSYSTEMS and "{" not in r["text"] for r in rows)
