@@ -22,9 +22,7 @@ _SLICES = 32
 _BLOCK = 256
 #: Pivot rounds before what is left of an index entry is compared in full.
 _PIVOTS = 3
-#: Groups of so many members at least get a centre of their own.
-_CENTRED = 8
-#: In these, tokens that more than one in so many members' differences hold are counted; they are 50 times a mean difference at most.
+#: Tokens that more than one in so many members' differences from the pivot hold are counted; they are 50 times a mean difference at most.
 _OFTEN = 50
 
 
@@ -216,9 +214,8 @@ def _group_candidates(tested: DataFrame, scratch: Scratch, num: int, den: int) -
     """Links and further candidates (a, b) among the documents that were compared with one pivot.
 
     The symmetric difference of two sets is that of their differences from
-    any third set, the centre. The centre is the pivot, in groups of some
-    size with the tokens swapped in or out that most members' differences
-    hold. Near copies of one text then have few tokens left, mostly their
+    any third set, the centre. The centre is the pivot with the tokens
+    swapped in or out that most members' differences hold. Near copies of one text then have few tokens left, mostly their
     own. Two sets link just when their symmetric difference is at most
     c * (sum of sizes), c = (den - num) / (den + num), that is when their
     differences D share at least (f + g) / 2 tokens, with f = |D| - c * size.
@@ -237,7 +234,7 @@ def _group_candidates(tested: DataFrame, scratch: Scratch, num: int, den: int) -
         return None, None
     rest = tested.join(several.select("p", "n"), "p").select("p", "n", F.col("x").alias("x"), F.col("x_size").alias("size"), "diff")
     rest = scratch.table(rest.unionByName(several.select("p", "n", F.col("p").alias("x"), F.col("p_size").alias("size"), F.array().cast("array<long>").alias("diff"))), "diffs")
-    often = rest.where(f"n >= {_CENTRED}").select("p", "n", F.explode("diff").alias("item")).groupBy("p", "item").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(f"{_OFTEN} * k > n")
+    often = rest.select("p", "n", F.explode("diff").alias("item")).groupBy("p", "item").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(f"{_OFTEN} * k > n")
     often = often.groupBy("p").agg(F.collect_list(F.struct("item", "k")).alias("l"))
     swap = scratch.table(often.select("p", F.col("l.item").alias("often"), F.col("l.k").alias("times")), "swaps")
 
