@@ -64,9 +64,9 @@ def with_last(requirements: DataFrame, rows: DataFrame, key: str, order: str, co
 
 
 def enrichment_view(results: DataFrame, requirements: DataFrame, search: str = "", status: str | None = None, unsure: bool = False, warned: bool = False) -> DataFrame:
-    """Results whose requirement id, expanded text or requirement's text hold the search, of one status, under 0.7 sure (none given counts as sure), with warnings; as far as asked."""
-    text = requirements.select(F.col("req_id").alias("requirement_id"), F.col("text").alias("__text"))
-    rows = results.join(text, "requirement_id", "left")
+    """Results whose requirement id, expanded text or requirement's text hold the search, of one status, under 0.7 sure (none given counts as sure), with warnings; as far as asked. A result meets the one requirement whose id is its requirement_db_id: req_ids may repeat."""
+    text = requirements.select(F.col("id").alias("requirement_db_id"), F.col("text").alias("__text"))
+    rows = results.join(text, "requirement_db_id", "left")
     wanted = search.strip().lower()
     if wanted:
         rows = rows.where(F.contains(F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("requirement_id", "expanded_text", "__text")])), F.lit(wanted)))
@@ -76,7 +76,7 @@ def enrichment_view(results: DataFrame, requirements: DataFrame, search: str = "
         rows = rows.where("coalesce(confidence, 1) < 0.7")
     if warned:
         rows = rows.where("size(warnings) > 0")
-    return rows.drop("__text")
+    return rows.select(*results.columns)
 
 
 def displayed_terms(results: DataFrame, order: str) -> DataFrame:
