@@ -108,17 +108,24 @@ def repeated_words(docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     key = ["anchor", "c1", "c2"]
     place = F.struct("doc_id", "start")
     classes = scratch.table(found.groupBy(*key).agg(F.min(F.struct("doc_id", "start", "many")).alias("p"), F.count("*").alias("n")), "classes")
+    scratch.drop()
     # a place whose words and anchor are those of an earlier one is repeated whole
     several = classes.where("n > 1").select(*key, F.col("p.doc_id").alias("p_doc"), F.col("p.start").alias("p_start"))
-    whole = found.join(several, key).where("doc_id <> p_doc or start <> p_start").select("doc_id", "start", (F.col("start") + F.col("many") - 1 + n).alias("stop"))
+    whole = scratch.table(found.join(several, key).where("doc_id <> p_doc or start <> p_start").select("doc_id", "start", (F.col("start") + F.col("many") - 1 + n).alias("stop")), "whole")
+    scratch.drop(found)
     # the first place of each class is compared window by window where other classes have its anchor
     shared = classes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
     asked = classes.join(shared, "anchor").select("p.*").groupBy("doc_id").agg(F.collect_list(F.struct("start", "many")).alias("l")).select(F.col("doc_id").alias("id"), F.col("l.start").alias("begins"), F.col("l.many").alias("many"))
+    asked = scratch.table(asked, "asked")
+    scratch.drop(classes)
     windows = scratch.table(_windows(docs.join(asked.hint("shuffle_hash"), F.col("doc_id") == F.col("id")), n), "windows")
+    scratch.drop(asked)
     first = windows.groupBy("w1", "w2").agg(F.min(place).alias("p"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", F.col("p.doc_id").alias("p_doc"), F.col("p.start").alias("p_start"))
     later = windows.join(first, ["w1", "w2"]).where("doc_id <> p_doc or start <> p_start").select("doc_id", "start", (F.col("start") + n).alias("stop"))
     by_doc = whole.unionByName(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("l"))
-    return scratch.table(by_doc.select("doc_id", F.col("l.start").alias("starts"), F.col("l.stop").alias("stops")), "ranges")
+    ranges = scratch.table(by_doc.select("doc_id", F.col("l.start").alias("starts"), F.col("l.stop").alias("stops")), "ranges")
+    scratch.drop(whole, windows)
+    return ranges
 
 
 def without(text: bytes, starts: np.ndarray, stops: np.ndarray) -> bytes:

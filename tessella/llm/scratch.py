@@ -36,7 +36,7 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete written tables that no later step reads."""
+        """Delete written tables that no later step reads; with none, only the shuffle files of what has been written."""
         jvm = self.spark._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in tables:
