@@ -357,6 +357,7 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10
     entries = classes.select("rep", F.col("n_shingles").alias("size"), "central", F.explode("keys").alias("key"))
     scratch.drop(indexed)
     used = scratch.table(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    scratch.drop()
     left = scratch.table(entries.join(used, "key").select("key", "rep", "size", "central"), "entries")
     reps = scratch.table(classes.drop("keys"), "reps")
     scratch.drop(classes, used)
@@ -405,6 +406,7 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10
     else:
         counts = scratch.table(link_counts(group, tokens, num, den), "counts")
         ends = scratch.table(counts.join(group.select(F.col("node").alias("rep"), F.col("component").alias("component_id")), "rep"), "ends")
+    scratch.drop(tokens)
     return member.join(ends, "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "rep", "doc_id").alias("component_id"),

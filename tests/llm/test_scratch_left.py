@@ -34,3 +34,9 @@ def test_passages_leave_their_ranges_alone(docs, left):
     out = passages.passage_dedup(docs)
     assert left() == ["ranges"]
     assert [r["text"] for r in out.orderBy("doc_id").collect()][1:] == ["x", "a", "z"]
+
+
+def test_join_leaves_no_token_sets(docs, left):
+    out = ngram_join.ngram_join(docs, n=3, similarity=(9, 10))
+    assert "tokens" not in left() and "index" not in left()
+    assert [r["component_id"] for r in out.orderBy("doc_id").collect()] == [0, 0, 2, 3]
