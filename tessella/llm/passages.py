@@ -88,15 +88,16 @@ def _earliest(doc: np.ndarray, start: np.ndarray, heads: np.ndarray, of: np.ndar
     return [least, np.minimum.reduceat(np.where(doc == least[of], start, np.iinfo(np.int64).max), heads)]
 
 
-def _round(state: DataFrame, keys: Callable, put: Callable, schema: str, buckets: int) -> DataFrame:
-    """put(cells, answers) for each row of the state, where the answers belong to the positions of keys(cells): (rank, second[, doc, start]).
-
-    An answer is the position's new rank: its rank and the number of
-    positions of that rank whose second key is smaller, all over the corpus;
-    settled if no other position has both keys. With doc and start, the
-    least of those of all positions with both keys follow. A block sends
-    each pair of keys once, with its number, to the task of the rank's
-    bucket, so that no number of equal prefixes makes a large task.
+def _round(state: DataFrame, keys: Callable, put: Callable, schema: str, buckets: int, tell: str = "rank") -> DataFrame:
+    """put(block, cells, answers) for each row of the state, with an answer for each position of keys(cells): (rank, second[, doc, start]).
+
+    By tell, the answer is: "rank", the new rank, which is the rank and the
+    number of positions of that rank whose second key is smaller, all over
+    the corpus, settled if no other position has both keys; "once", whether
+    that is so; "first", whether doc and start are the least of all positions
+    with both keys. A block sends each pair of keys once, with its number, to
+    the task of the rank's bucket, so that no number of equal prefixes makes
+    a large task. Ascending numbers travel as differences, which pack well.
     """
     names = ["k1", "k2", "doc", "start"]
 
@@ -112,43 +113,45 @@ def _round(state: DataFrame, keys: Callable, put: Callable, schema: str, buckets
                 cut = np.searchsorted(k[0] >> _LOCAL, np.arange(buckets + 1))
                 for i in np.flatnonzero(np.diff(cut)).tolist():
                     part = slice(cut[i], cut[i + 1])
-                    cells = [x[part].tobytes() for x in k] + [b""] * (4 - len(k)) + [many[part].astype(np.int32).tobytes()]
+                    cells = [np.diff(k[0][part], prepend=0).tobytes(), *[x[part].tobytes() for x in k[1:]], *[b""] * (4 - len(k)), many[part].astype(np.int32).tobytes()]
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array([i], pa.int32()), "block": pa.array([row["block"]], pa.int64()), **{c: pa.array([x], pa.binary()) for c, x in zip([*names, "n"], cells, strict=True)}})
 
-    def join(column, kind=np.int64):
-        return np.concatenate([np.frombuffer(x, kind) for x in column.to_pylist()])
+    def join(column, kind=np.int64, sums=False):
+        cells = [np.frombuffer(x, kind) for x in column.to_pylist()]
+        return np.concatenate([np.cumsum(x) for x in cells] if sums else cells)
 
     def answer(t: pa.Table) -> pa.Table:
-        k = [x for x in (join(t.column(c)) for c in names) if len(x)]
+        k = [x for x in (join(t.column(c), sums=c == "k1") for c in names) if len(x)]
         order, heads, of = _sorted(k)
-        size = np.add.reduceat(join(t.column("n"), np.int32)[order].astype(np.int64), heads)
-        before, rank = np.cumsum(size) - size, k[0][order[heads]]
-        new = np.append(True, rank[1:] != rank[:-1])
-        less = before - before[np.flatnonzero(new)][np.cumsum(new) - 1]
-        told = [np.where(size == 1, _SETTLED, np.int64(0)) | (rank + less), *(_earliest(k[2][order], k[3][order], heads, of) if k[2:] else [])]
+        told = np.empty(len(order), np.int64)
+        if tell == "first":
+            doc, start = _earliest(k[2][order], k[3][order], heads, of)
+            told[order] = (k[2][order] == doc[of]) & (k[3][order] == start[of])
+        else:
+            size = np.add.reduceat(join(t.column("n"), np.int32)[order].astype(np.int64), heads)
+            before, rank = np.cumsum(size) - size, k[0][order[heads]]
+            new = np.append(True, rank[1:] != rank[:-1])
+            less = before - before[np.flatnonzero(new)][np.cumsum(new) - 1]
+            told[order] = ((size == 1) + (2 * (rank + less) if tell == "rank" else 0))[of]
         at = np.cumsum([0] + [len(x) // 8 for x in t.column("k1").to_pylist()])
-        out = {"block": t.column("block"), "bucket": t.column("bucket")}
-        for c, x in zip(["rank", "doc", "start"], [*told, *[None] * (3 - len(told))], strict=True):
-            whole = np.empty(len(order), np.int64)
-            if x is not None:
-                whole[order] = x[of]
-            out[c] = pa.array([b"" if x is None else whole[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())
-        return pa.table(out)
+        cells = [told[i:j] for i, j in zip(at, at[1:], strict=False)]
+        return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "told": pa.array([np.diff(x, prepend=0).tobytes() for x in cells], pa.binary())})
 
     def merge(left: pa.Table, right: pa.Table) -> pa.Table:
         cells, block = _cells(left.to_pylist()[0]), left.column("block")[0].as_py()
-        k, right = keys(cells), right.sort_by("bucket")
-        order, _, of = _sorted(k)
-        got = []
-        for c in ["rank", "doc", "start"][: len(k) - 1]:
-            whole = np.empty(len(order), np.int64)
-            if len(order):
-                whole[order] = join(right.column(c))[of]
-            got.append(whole)
+        k = keys(cells)
+        got = np.empty(len(k[0]), np.int64)
+        if len(got):
+            order, heads, of = _sorted(k)
+            told = join(right.sort_by("bucket").column("told"), sums=True)[of]
+            if tell == "first":
+                doc, start = _earliest(k[2][order], k[3][order], heads, of)
+                told = told * ((k[2][order] == doc[of]) & (k[3][order] == start[of]))
+            got[order] = np.where(told & 1, _SETTLED, np.int64(0)) | (told >> 1) if tell == "rank" else told
         return put(block, cells, got)
 
     asked = state.mapInArrow(spans.tidy(ask), "bucket int, block long, k1 binary, k2 binary, doc binary, start binary, n binary")
-    told = asked.groupBy("bucket").applyInArrow(answer, "block long, bucket int, rank binary, doc binary, start binary")
+    told = asked.groupBy("bucket").applyInArrow(answer, "block long, bucket int, told binary")
     return state.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(merge, schema)
 
 
@@ -222,7 +225,7 @@ def candidates(docs: DataFrame, n: int, buckets: int, scratch: Scratch) -> DataF
     def ranges(block, cells, got):
         doc, place, words, _ = cells
         start = np.cumsum(words + 1) - words - 1
-        once = place[got[0] < 0]
+        once = place[got == 1]
         mark = np.zeros(int((words + 1).sum()) + 1, np.int64)
         np.add.at(mark, np.maximum(once - (n - gram), start[np.searchsorted(start, once, "right") - 1]), 1)
         np.add.at(mark, once + 1, -1)
@@ -233,7 +236,7 @@ def candidates(docs: DataFrame, n: int, buckets: int, scratch: Scratch) -> DataF
         return _by_doc("id long, begins array<long>, many array<long>", doc[of], edge[:, 0] - start[of], edge[:, 1] - edge[:, 0])
 
     found = scratch.table(docs.select("doc_id", "text").mapInArrow(spans.tidy(grams), _STATE), "grams")
-    asked = scratch.table(_round(found, _first(buckets), ranges, "id long, begins array<long>, many array<long>", buckets), "asked")
+    asked = scratch.table(_round(found, _first(buckets), ranges, "id long, begins array<long>, many array<long>", buckets, "once"), "asked")
     scratch.drop(found)
     return asked
 
@@ -288,7 +291,7 @@ def deepen(state: DataFrame, n: int, depth: int, step: int, buckets: int) -> Dat
 
     def put(block, cells, got):
         rank = np.full(len(cells[3]), _SETTLED)
-        rank[needed(cells)[0]] = got[0]
+        rank[needed(cells)[0]] = got
         if (rank < 0).all():
             return _table(_STATE, [[]] * 5)
         return _table(_STATE, [[block], *[[x.tobytes()] for x in (*cells[:3], rank)]])
@@ -314,7 +317,7 @@ def intervals(state: DataFrame, n: int, depth: int, step: int, buckets: int) ->
 
     def put(block, cells, got):
         doc, start = places(cells, needed(cells)[0])
-        later = np.flatnonzero((doc != got[1]) | (start != got[2]))
+        later = np.flatnonzero(got == 0)
         doc, start = doc[later], start[later]
         head = np.ones(len(doc), bool)
         head[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
@@ -322,7 +325,7 @@ def intervals(state: DataFrame, n: int, depth: int, step: int, buckets: int) ->
         last = np.append(head[1:], len(doc)) - 1
         return _by_doc(schema, doc[head], start[head], start[last[: len(head)]] + n)
 
-    return _round(state, keys, put, schema, buckets)
+    return _round(state, keys, put, schema, buckets, "first")
 
 
 def repeated_words(docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
