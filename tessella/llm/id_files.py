@@ -15,13 +15,16 @@ from .scratch import Scratch, partitions
 from .wordpieces import ChunkEncoder
 
 MAGIC = b"TIDS1\n"
-#: Ids of a shard, give or take a document.
-_SHARD = 4_000_000
+#: Bytes of the texts of a shard, and four for each text, give or take a document.
+_SHARD = 20_000_000
+#: Blocks that are coded in step.
+_LANES = 2048
 
 
-def pack_shard(doc_ids: list[int], counts: list[int], ids: np.ndarray) -> bytes:
+def pack_shard(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
     """A shard's bytes, all numbers little-endian: magic, numbers of documents and blocks (32-bit), per document its id and number of ids (64-bit), per block the length of its code (32-bit), crc32 of all that, then the blocks in order. Blocks have BLOCK ids, the last one fewer."""
-    blocks = encode([ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)])
+    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+    blocks = [b for i in range(0, len(blocks), _LANES) for b in encode(blocks[i : i + _LANES])]
     head = np.array([len(doc_ids), len(blocks)], "<u4").tobytes() + np.array([doc_ids, counts], "<i8").tobytes() + np.array([len(b) for b in blocks], "<u4").tobytes()
     return MAGIC + head + np.array([zlib.crc32(head)], "<u4").tobytes() + b"".join(blocks)
 
@@ -37,7 +40,8 @@ def unpack_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise ValueError("index checksum")
     docs, counts = np.frombuffer(data, "<i8", 2 * n, at + 8).reshape(2, n)
     sizes = np.append(0, np.cumsum(np.frombuffer(data, "<u4", k, at + 8 + 16 * n).astype(np.int64))) + end + 4
-    ids = decode([data[x:y] for x, y in zip(sizes, sizes[1:], strict=False)])
+    blocks = [data[x:y] for x, y in zip(sizes, sizes[1:], strict=False)]
+    ids = [x for i in range(0, k, _LANES) for x in decode(blocks[i : i + _LANES])]
     return docs, counts, np.concatenate(ids) if ids else np.zeros(0, np.uint32)
 
 
@@ -49,28 +53,27 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         from pyspark import TaskContext
 
         part, before, encoder, end = TaskContext.get().partitionId(), 0, ChunkEncoder.of(tokenizer), end_id.to_bytes(4, "little")
-        who: list[int] = []
-        held: list[bytes] = []
-        total = 0
+        held: list[pa.RecordBatch] = []
+        size = 0
 
         def flush():
-            nonlocal who, held, total, before
-            shard = pack_shard(who, [len(x) // 4 for x in held], np.frombuffer(b"".join(held), "<u4"))
+            nonlocal held, size, before
+            table = pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+            ids, bounds = encoder.encode_column(table.column(1).chunk(0), end)
+            shard = pack_shard(table.column(0).to_numpy(), np.diff(bounds), ids)
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "before": pa.array([before], pa.int64()), "shard": pa.array([shard], pa.binary())})
-            before += total
-            who, held, total = [], [], 0
+            before += len(ids)
             return row
 
         for b in batches:
             off, _ = spans.buffers(b.column(1))
-            for i, j in spans.pieces(off):
-                for doc, tokens in zip(b.column(0).slice(i, j - i).to_pylist(), encoder.encode([t or "" for t in b.column(1).slice(i, j - i).to_pylist()]), strict=True):
-                    who.append(doc)
-                    held.append(tokens + end)
-                    total += len(tokens) // 4 + 1
-                if total >= _SHARD:
+            for i, j in spans.pieces(off, _SHARD):
+                if held and size + off[j] - off[i] + 4 * (j - i) > _SHARD * 5 // 4:
                     yield flush()
-        if who:
+                held.append(b.slice(i, j - i))
+                size += int(off[j] - off[i]) + 4 * (j - i)
+        if held:
             yield flush()
 
     return ordered.mapInArrow(work, "part int, before long, shard binary")
