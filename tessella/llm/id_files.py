@@ -107,6 +107,7 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, keep_ids: bool
     end_id), ids_crc32[, ids]. Null and empty texts have end_id alone; rows
     with a null doc_id are left out; repeated rows are written each, in any
     order; further columns are ignored; an empty table gives an empty one.
+    A text of any length is encoded whole, in one task.
     """
     scratch = Scratch(docs.sparkSession, "token-files")
     shards = scratch.table(write_shards(docs, tokenizer, end_id), "shards")

@@ -11,7 +11,6 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from . import spans
 
@@ -180,14 +179,16 @@ class ChunkEncoder:
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         """The ids of each of many distinct words; new ones are encoded, for the next call too."""
-        new = [w for w in words if w not in self.bytes]
+        found = [*map(self.bytes.get, words)]
+        new = [w for w, f in zip(words, found, strict=True) if f is None]
         if len(self.bytes) + len(new) > _KEEP:
             _forget(self.bytes)
-            new = [w for w in words if w not in self.bytes]
+        coded: list[bytes] = []
         for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.bytes.update(zip(part, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)], strict=True))
-        return [self.bytes[w] for w in words]
+            coded += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in new[i : i + 20_000]], add_special_tokens=False)]
+        self.bytes.update(zip(new, coded, strict=True))
+        rest = iter(coded)
+        return [next(rest) if f is None else f for f in found]
 
 
 #: First bytes of white space beyond ASCII in UTF-8.
