@@ -14,7 +14,7 @@ from .id_coder import BLOCK, decode, encode
 from .scratch import Scratch, partitions
 from .wordpieces import ChunkEncoder
 
-MAGIC = b"TIDS1\n"
+MAGIC = b"TIDS2\n"
 #: Bytes of the texts of a shard, and four for each text, give or take a document.
 _SHARD = 20_000_000
 #: Blocks that are coded in step.
